@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.llm.bpe_codec import op4_bpe_codec
 from logloom.llm.quality_rules import op8_quality_rules
+from logloom.llm.source_mix import op10_source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {q.__name__: q for q in (op4_bpe_codec, op8_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
