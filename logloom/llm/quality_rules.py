@@ -152,7 +152,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", bands
     an empty result. Columns of docs are kept inside `row`, whatever their names.
     """
     measured = settle(measure(docs, text, lang, bands, path, keep))
-    judged = measured.join(band_table(measured, bands), ["band_group", "band_size"], "left")
+    judged = measured.join(settle(band_table(measured, bands)), ["band_group", "band_size"], "left")  # a small file: joined by broadcast, by shuffle beyond the threshold
     failed = (F.col("n_words") < bands.min_words) | (100 * F.col("n_repeat_words") > bands.max_repeat_percent * F.col("n_words"))
     outside = (
         (F.col("chars_per_token") < F.col("chars_per_token_low")) | (F.col("chars_per_token") > F.col("chars_per_token_high"))
