@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm.bpe_codec import op4_bpe_codec
 from logloom.llm.quality_rules import op8_quality_rules
+from logloom.llm.secret_scan import op3_secret_scan
+from logloom.llm.simhash_dedup import op9_simhash_dedup
 from logloom.llm.source_mix import op10_source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_bpe_codec, op8_quality_rules, op10_source_mix)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op3_secret_scan, op4_bpe_codec, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
