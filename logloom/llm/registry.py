@@ -11,13 +11,14 @@ from logloom.llm.quality_rules import op8_quality_rules
 from logloom.llm.secret_scan import op3_secret_scan
 from logloom.llm.simhash_dedup import op9_simhash_dedup
 from logloom.llm.source_mix import op10_source_mix
+from logloom.llm.url_filter import op7_oracle, op7_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op3_secret_scan, op4_bpe_codec, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
+    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op3_secret_scan, op4_bpe_codec, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": op7_oracle()}
