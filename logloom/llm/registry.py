@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm.bpe_codec import op4_bpe_codec
 from logloom.llm.language_id import op5_language_id
+from logloom.llm.pivot_search import OP2_ORACLE, op2_pivot_search
 from logloom.llm.quality_rules import op8_quality_rules
 from logloom.llm.secret_scan import op3_secret_scan
 from logloom.llm.simhash_dedup import op9_simhash_dedup
@@ -18,8 +19,8 @@ from logloom.llm.url_filter import op7_oracle, op7_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op3_secret_scan, op4_bpe_codec, op5_language_id, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
+    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op2_pivot_search, op3_secret_scan, op4_bpe_codec, op5_language_id, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": op7_oracle()}
+    return {"op2_pivot_search": OP2_ORACLE, "op7_url_filter": op7_oracle()}
