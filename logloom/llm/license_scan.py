@@ -129,12 +129,16 @@ class Templates:
                 end += 1
             if at > done and len(count) >= self.least[name]:
                 pairs = patience(words[at : at + span], template)
+                if pairs and pairs[0][0]:  # the occurrence may reach beyond a window that began before it
+                    at += pairs[0][0]
+                    pairs = patience(words[at : at + span], template)
                 if len(pairs) >= self.how.coverage * len(template) - 1e-9:
                     done = at + pairs[-1][0]
                     out.append((name, at + pairs[0][0], done + 1, len(pairs), len(pairs) / len(template)))
-            count[words[at]] -= 1
-            if not count[words[at]]:
-                del count[words[at]]
+            gone = words[hits[i]]
+            count[gone] -= 1
+            if not count[gone]:
+                del count[gone]
         return out
 
 

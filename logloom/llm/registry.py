@@ -11,6 +11,7 @@ from logloom.llm.language_id import op5_language_id
 from logloom.llm.license_scan import op6_license_scan
 from logloom.llm.pivot_search import OP2_ORACLE, op2_pivot_search
 from logloom.llm.quality_rules import op8_quality_rules
+from logloom.llm.recurrent_lm import op1_recurrent_lm
 from logloom.llm.secret_scan import op3_secret_scan
 from logloom.llm.simhash_dedup import op9_simhash_dedup
 from logloom.llm.source_mix import op10_source_mix
@@ -20,7 +21,7 @@ from logloom.llm.url_filter import op7_oracle, op7_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op2_pivot_search, op3_secret_scan, op4_bpe_codec, op5_language_id, op6_license_scan, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
+    return {"pipeline": corpus_pipeline.run} | {q.__name__: q for q in (op1_recurrent_lm, op2_pivot_search, op3_secret_scan, op4_bpe_codec, op5_language_id, op6_license_scan, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
