@@ -24,15 +24,17 @@ class SimHash:
     shingle: words. radius: bits that may differ. bands: metrics that a tree is built for, each
     the Hamming distance over an equal part of the bits; two fingerprints within the radius are
     within radius // bands in at least one of them, so smaller balls are searched, and less of
-    them crosses a border. leaf: fingerprints that a leaf holds on average. sample: fingerprints,
-    about, that the trees are built from on the driver (8 bytes each); all are searched. block:
-    fingerprints compared with as many others at once. seed: of the shingles' hashes.
+    them crosses a border. leaf: fingerprints that a leaf holds on average. share, sample: of the
+    fingerprints that the trees are built from on the driver, and how many of them about at most
+    (8 bytes each); all are searched. block: fingerprints compared with as many others at once.
+    seed: of the shingles' hashes.
     """
 
     shingle: int = 3
     radius: int = 3
     bands: int = 2
     leaf: int = 256
+    share: float = 0.125
     sample: int = 100_000
     block: int = 4096
     seed: int = 42
@@ -185,7 +187,7 @@ def near_links(distinct: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    rate = min(1.0, how.sample / max(1, total))
+    rate = min(how.share, how.sample / max(1, total))
     chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(rate * (1 << 20))).toPandas()["fp"].to_numpy(np.int64)
     trees = spark.sparkContext.broadcast(_trees(np.sort(chosen).view(np.uint64), total, how))
 
