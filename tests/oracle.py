@@ -46,7 +46,8 @@ def differences(spark, name: str, query, sql: str, sf_dir: str) -> str:
         return f"{name}: columns {sorted(mine.columns)} and {sorted(want.columns)}"
     a, b = rows(mine), rows(want)
     if a != b:
-        only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
         return f"{name}: {len(a)} and {len(b)} rows; only Spark {only_a}; only SQL {only_b}"
     types = {k.lower(): str(t) for k, t in zip(r.columns, r.types, strict=True)}
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
