@@ -23,9 +23,9 @@ from logloom.llm.common import as_row, fields, map_batches, table, tokenizer_pat
 _LAST = 0x1000
 _WORD_END = "</w>"
 #: Distinct words whose encodings a worker keeps; later ones are encoded each time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Rows of the pair-compatibility table that a worker keeps.
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 200_000
 
 
 def _byte_units() -> dict[int, str]:
@@ -225,8 +225,8 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
         return [batch.column(0), n, *([every] if with_ids else []), a, b]
 
     rows = as_row(docs, keep, F.col(text).cast("string").alias("text"))
-    made = fields("n_tokens bigint" + ", ids array<bigint>" * with_ids + ", ids_sha256 string, decoded_sha256 string")
-    return map_batches(rows, of, T.StructType([rows.schema["row"], *made.fields]))
+    made = fields("n_tokens bigint" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string")
+    return map_batches(rows, of, T.StructType([rows.schema["row"], *made.fields]), text=1)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +39,28 @@ def as_row(df: DataFrame, keep: tuple[str, ...] | None, *extra: Column) -> DataF
     return df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), *extra)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType) -> DataFrame:
-    """Apply fn to every Arrow batch; it returns the output columns in the schema's order."""
+#: Bytes of text that a task works on at once, and whose results it holds; a longer text is worked on alone.
+TEXT_BYTES = 4 << 20
+
+
+def cut(batch: pa.RecordBatch, column: int, at: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `at` bytes of a string column together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // at
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None) -> DataFrame:
+    """Apply fn to every Arrow batch; it returns the output columns in the schema's order.
+
+    text: number of a string column by whose bytes batches are cut into smaller ones.
+    """
     arrow = _arrow_types(schema)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if text is None else (part for whole in batches for part in cut(whole, text)):
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow, strict=True)], names=names)
 
@@ -52,7 +69,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
 
 def _arrow_types(schema: T.StructType) -> list[pa.DataType | None]:
     """Arrow types of plain columns; a struct column is passed on as it came."""
-    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     return [plain.get(f.dataType.simpleString()) for f in schema.fields]
 
 

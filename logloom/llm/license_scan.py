@@ -165,7 +165,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
         return [batch.column(0), *out]
 
     rows = as_row(docs, keep, F.col(text).cast("string").alias("text"))
-    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("n_words bigint, license string, coverage double, matched bigint, spans string").fields]))
+    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("n_words bigint, license string, coverage double, matched bigint, spans string").fields]), text=1)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", how: SimHash = SimHash(),
         return [batch.column(0), pa.array(found.view(np.int64))]
 
     rows = as_row(docs, keep, F.col(text).cast("string").alias("text"))
-    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("fp bigint").fields]))
+    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("fp bigint").fields]), text=1)
 
 
 class VantageTree:
