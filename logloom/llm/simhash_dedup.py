@@ -248,7 +248,7 @@ def _rows(docs: DataFrame, text: str, doc_id: str, how: SimHash, keep: tuple[str
 
 def _groups(rows: DataFrame, doc_id: str, how: SimHash) -> DataFrame:
     """Columns fp, least and group, one row for each fingerprint: its smallest id, its group's smallest fingerprint."""
-    distinct = settle(rows.groupBy("fp").agg(F.min(f"row.{doc_id}").alias("least")))
+    distinct = settle(rows.groupBy("fp").agg(F.min(f"row.`{doc_id}`").alias("least")))
     member = connected_components(near_links(distinct, how))
     return settle(distinct.join(member, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
 
@@ -273,14 +273,20 @@ def first_of_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The documents, but of each group of near copies only that of the smallest id.
 
     Exactly one row of each group stays: of repeated rows with that id, and of the rows of a
-    group without ids, whichever comes first.
+    group without ids, one of the smallest fingerprint. Texts are moved once, to meet the ids
+    and hashes that stay; only those and fingerprints are written down before.
     """
-    rows = _rows(docs, text, doc_id, how, None)
-    first = _groups(rows, doc_id, how).groupBy("group").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("f"))
-    first = settle(first.select(F.col("f.fp").alias("first_fp"), F.col("f.least").alias("first_id")))
-    own = rows.join(first, (F.col("fp") == F.col("first_fp")) & F.col(f"row.{doc_id}").eqNullSafe(F.col("first_id")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("fp").orderBy("fp"))
-    return own.withColumn("rank", rank).where("rank = 1").select("row.*")
+    own_hash = F.xxhash64(F.col(text).cast("string"))
+    tagged = docs.withColumn("\0hash", own_hash)
+    rows = _rows(tagged, text, doc_id, how, (doc_id, "\0hash"))
+    groups = _groups(rows, doc_id, how).select("fp", "group")
+    each = rows.select("fp", F.col(f"row.`{doc_id}`").alias("id"), F.col("row.`\0hash`").alias("hash"))
+    least = each.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "hash")).alias("f"))
+    first = least.join(groups, "fp").groupBy("group").agg(F.min("f").alias("f"))
+    first = settle(first.select(F.col("f.id").alias("\0first_id"), F.col("f.hash").alias("\0first_hash")))
+    own = tagged.join(first, (F.col("\0hash") == F.col("\0first_hash")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("\0first_id")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("\0hash", f"`{doc_id}`").orderBy("\0hash"))
+    return own.withColumn("\0place", place).where(F.col("\0place") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
