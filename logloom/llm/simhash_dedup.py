@@ -269,6 +269,14 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how:
     return rows.join(classes, "fp").select("row", "fp", "component_id")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def first_of_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: SimHash = SimHash()) -> DataFrame:
     """The documents, but of each group of near copies only that of the smallest id.
 
@@ -276,17 +284,17 @@ def first_of_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     group without ids, one of the smallest fingerprint. Texts are moved once, to meet the ids
     and hashes that stay; only those and fingerprints are written down before.
     """
-    own_hash = F.xxhash64(F.col(text).cast("string"))
-    tagged = docs.withColumn("\0hash", own_hash)
-    rows = _rows(tagged, text, doc_id, how, (doc_id, "\0hash"))
+    own_hash, first_id, first_hash, rank = (_free(docs, name) for name in ("own_hash", "first_id", "first_hash", "first_rank"))
+    tagged = docs.withColumn(own_hash, F.xxhash64(F.col(text).cast("string")))
+    rows = _rows(tagged, text, doc_id, how, (doc_id, own_hash))
     groups = _groups(rows, doc_id, how).select("fp", "group")
-    each = rows.select("fp", F.col(f"row.`{doc_id}`").alias("id"), F.col("row.`\0hash`").alias("hash"))
+    each = rows.select("fp", F.col(f"row.`{doc_id}`").alias("id"), F.col(f"row.`{own_hash}`").alias("hash"))
     least = each.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "hash")).alias("f"))
     first = least.join(groups, "fp").groupBy("group").agg(F.min("f").alias("f"))
-    first = settle(first.select(F.col("f.id").alias("\0first_id"), F.col("f.hash").alias("\0first_hash")))
-    own = tagged.join(first, (F.col("\0hash") == F.col("\0first_hash")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("\0first_id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("\0hash", f"`{doc_id}`").orderBy("\0hash"))
-    return own.withColumn("\0place", place).where(F.col("\0place") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = settle(first.select(F.col("f.id").alias(first_id), F.col("f.hash").alias(first_hash)))
+    own = tagged.join(first, (F.col(own_hash) == F.col(first_hash)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(first_id)), "left_semi")
+    place = F.row_number().over(Window.partitionBy(own_hash, f"`{doc_id}`").orderBy(own_hash))
+    return own.withColumn(rank, place).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
