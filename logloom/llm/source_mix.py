@@ -120,7 +120,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     whole passes over a source as its target holds, then the blocks of one more pass in order of
     number, up to the block where the target lies; of that block it takes documents in hash
     order while they fit, then the largest that fits, then the smallest that fit. Targets are
-    met to within the smallest document left out. The splitting tree says how many blocks each
+    met to within the smallest document left out of that block. The splitting tree says how many blocks each
     output shard gets of a source; shards take the block copies in order, so no two take the
     same. `at` orders a shard's documents at random.
 
