@@ -145,7 +145,7 @@ def test_op8_keeps_documents_of_good_quality(spark, sf_dir):
 
 def test_op8_rejects_gibberish_and_handles_awkward_rows(spark):
     good = [(i, words(120, i)) for i in range(200)]
-    noise = [(900, "".join(chr(0x2600 + k % 200) + " " for k in range(400)))]
+    noise = [(900, "".join(chr(0x2600 + k) + " " for k in range(90)))]
     docs = awkward(spark, [*good, *noise, (901, None), (902, ""), (903, "one two"), (904, words(8) * 30)])
     got = {r["row"]["doc_id"]: r for r in quality_rules(docs).collect()}
     assert len(got) == 205 and not any(got[k]["kept"] for k in range(900, 905))
