@@ -24,26 +24,37 @@ def long(c: Column) -> Column:
     return c.cast("bigint")
 
 
+def _fields(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "user_id", "event_type", "value", epoch_ms(F.col("ts")).alias("t_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "event_type", "value", epoch_ms(F.col("ts")).alias("t_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return _fields(table(spark, sf_dir, "events"))
 
 
-def usage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model requests: one row each, with null counters where nothing was measured."""
+def requests_of(events: DataFrame) -> DataFrame:
+    """Model requests: one row of each event, with null counters where nothing was measured."""
     k = F.col("k")
     measured = k % 7 != 0
     only = lambda c: F.when(measured, c)
-    return _events(spark, sf_dir).select(
+    return _fields(events).select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), F.concat(F.lit("m"), (k % 5).cast("string")).alias("model"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("provider"),
         "t_ms", "k", measured.alias("measured"), only(k * 10).alias("input"), only(F.floor(F.col("value") * 10)).alias("output"), only(k * 3).alias("cache_read"), only(k % 4).alias("cache_write"), only(k % 5).alias("reasoning"),
     )
 
 
-def bucket_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def on_few_routes(requests: DataFrame) -> DataFrame:
     """The same requests under two sessions and two routes, so that quarter-hours fill up."""
     k = F.col("k")
-    return usage_view(spark, sf_dir).withColumns({"session": F.col("session") % 2, "kind": F.lit("agent"), "model": F.concat(F.lit("m"), (k % 2).cast("string")), "provider": F.concat(F.lit(" P"), (k % 2).cast("string"))})
+    return requests.withColumns({"session": F.col("session") % 2, "kind": F.lit("agent"), "model": F.concat(F.lit("m"), (k % 2).cast("string")), "provider": F.concat(F.lit(" P"), (k % 2).cast("string"))})
+
+
+def bucket_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on_few_routes(usage_view(spark, sf_dir))
 
 
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
