@@ -127,21 +127,21 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     A null text has no words: size 0, and its placements add nothing. Null sources are one source,
     the last. Rows that are equal are taken each on its own; those of a null doc_id as well. A
     table without words has targets 0; an empty table gives an empty result. Reruns agree, since
-    every draw is a hash of the row and the seed.
+    every draw is a hash of the row and the seed. docs is read twice, for its sizes and for its rows, so
+    that texts need not be written down; it is to be a table or another frame that is the same each time.
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     name = F.col(source).cast("string")
-    rows = settle(
-        as_row(docs, keep, size.alias("size"), name.alias("source"), F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("source_key"), F.xxhash64(F.lit(mix.seed), F.col(doc_id), name, size).alias("key"))
-    )
-    sizes = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    rows = as_row(docs, keep, size.alias("size"), name.alias("source"), F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("source_key"), F.xxhash64(F.lit(mix.seed), F.col(doc_id), name, size).alias("key"))
+    measures = settle(rows.select("size", "source", "source_key", "key"))
+    sizes = measures.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     quota = F.round("target").cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     blocks = F.greatest(F.lit(1), F.least(F.lit(mix.max_blocks), F.ceil(F.col("n_docs") / mix.block_docs))).cast("bigint")
     targets = settle(
         source_targets(sizes, mix).withColumn("passes", passes).withColumn("n_blocks", blocks).withColumn("rest", quota - F.col("passes") * F.col("source_size"))
     )
-    dealt = rows.join(targets.select("source_key", "n_blocks"), "source_key").select("source_key", F.pmod("key", "n_blocks").alias("block"), "size")
+    dealt = measures.join(targets.select("source_key", "n_blocks"), "source_key").select("source_key", F.pmod("key", "n_blocks").alias("block"), "size")
     in_order = Window.partitionBy("source_key").orderBy("block")
     reached = (
         dealt.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
