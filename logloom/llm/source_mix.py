@@ -119,8 +119,9 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     Each source's documents are dealt by a hash into numbered blocks. The mix takes as many
     whole passes over a source as its target holds, then the blocks of one more pass in order of
     number, up to the block where the target lies; of that block it takes documents in hash
-    order while they fit, then the largest that fits, then the smallest that fit. Targets are
-    met to within the smallest document left out of that block. The splitting tree says how many blocks each
+    order while they fit, then the largest that fits, then the smallest that fit, and
+    at last the smallest left out if that brings the words nearer to the target, from above. So targets
+    are met to within half of the smallest document left out of that block. The splitting tree says how many blocks each
     output shard gets of a source; shards take the block copies in order, so no two take the
     same. `at` orders a shard's documents at random.
 
@@ -183,7 +184,11 @@ def _fill(edge: DataFrame) -> DataFrame:
             .withColumn("extra", F.col("extra") | (open_ & (F.col("run") <= F.col("left"))))
         )
 
-    return reduce(step, tries, edge.withColumn("extra", F.lit(False)))
+    filled = reduce(step, tries, edge.withColumn("extra", F.lit(False)))
+    left = F.col("gap") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))).over(per), F.lit(0))
+    open_ = ~F.col("extra") & (F.col("size") > 0)
+    place = F.row_number().over(per.orderBy(~open_, "size", "key"))
+    return filled.withColumn("left", left).withColumn("extra", F.col("extra") | (open_ & (place == 1) & (F.col("size") < 2 * F.col("left"))))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix(), **columns) -> DataFrame:
