@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each one of the operators of logloom.llm.
 
-Near-duplicate removal works on the fingerprints of operator 9. Every stage takes
+Near-duplicate removal joins documents that share four fifths of their 5-word shingles. Every stage takes
 (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
 documents; the last one returns the encoding of each document of the mix.
 """
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm.bpe_codec import encode_documents
+from logloom.llm.near_copies import first_of_near_copies
 from logloom.llm.quality_rules import keep_good
 from logloom.llm.secret_scan import without_secrets
-from logloom.llm.simhash_dedup import first_of_group
 from logloom.llm.source_mix import mixed_documents
 from logloom.sources.shared import settle
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id."""
-    return first_of_group(docs)
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, the one of the smallest id."""
+    return first_of_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
