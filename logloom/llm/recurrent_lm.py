@@ -25,10 +25,8 @@ class RecurrentLm:
     words: of the model's vocabulary, the most frequent ones; other words belong to one of KINDS
     and share its probability in proportion to their training counts. frequent: words whose
     counts are sent to every task at most; the others meet theirs in a join. word_bytes: longest
-    word of either table, which bounds their size. hidden: units. share, least_texts: of the
-    training texts that fit the recurrent weights, so that these too grow with the corpus, and
-    how many of them at least (all, if there are fewer); all counts come from all of them.
-    shard_texts: texts that one task fits its copy of the weights to before copies are averaged.
+    word of either table, which bounds their size. hidden: units. shard_texts: texts that one task
+    fits its copy of the weights to before copies are averaged; shards hold all training texts.
     rounds, rate: of that, the rate falling by half each round. lanes, steps: of a training
     update; back-propagation is cut at its first step, the state is carried on. add: to every
     count.
@@ -38,8 +36,6 @@ class RecurrentLm:
     frequent: int = 60_000
     word_bytes: int = 64
     hidden: int = 16
-    share: float = 0.015
-    least_texts: int = 2000
     shard_texts: int = 1000
     rounds: int = 3
     rate: float = 0.02
@@ -459,9 +455,7 @@ def language_model_scores(docs: DataFrame, learns, text: str = "text", doc_id: s
     counts = settle(count_words(training.select("text")))
     n_texts = training.count()
     vocabulary = _vocabulary(counts, n_texts, how)
-    share = min(1.0, max(how.share, how.least_texts / max(1, n_texts)))
-    sample = training.where(F.pmod(F.xxhash64(F.lit(how.seed), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    model = fit_model(sample, vocabulary, how)
+    model = fit_model(training.select("text"), vocabulary, how)
     return score_texts(docs, counts, vocabulary, model, text, keep, how).withColumn("train_tokens", F.lit(int(vocabulary.n_all)).cast("bigint"))
 
 
