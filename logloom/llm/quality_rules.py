@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,9 @@ class FertilityBands:
     quartile and as much. least: margins beyond the quartiles that no band falls below, so
     that uniform documents reject no ordinary ones. size_base: texts whose token counts have
     the same logarithm to this base share a band, as all three measures scatter less in longer
-    texts. min_texts: a language and size of fewer texts has no band and rejects nothing.
+    texts. min_texts: a language and size of fewer texts takes the texts of the nearest sizes of
+    its language as well, until there are as many; a language of fewer texts is judged by the
+    whole corpus in the same way, which has no such bound itself.
     min_words: shorter texts are judged by the base rules alone, since a handful of tokens says
     nothing about fertility. window: words of a repeated passage. accuracy: of the quantile
     sketch.
@@ -123,14 +125,36 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", bands: Fert
     return map_batches(rows, of, schema, text=1).withColumn("band_group", F.coalesce(F.col("lang"), F.concat(F.lit("script:"), "script"))).withColumn("band_size", F.floor(F.log(bands.size_base, F.greatest("n_tokens", F.lit(1)))).cast("int")).drop("lang", "script")
 
 
+def _nearest_sizes(at: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """Columns band_group, band_size and src_size: the nearest sizes of the group that together hold `least` texts, or all."""
+    near = at.join(counts.withColumnRenamed("band_size", "src_size"), "band_group").withColumn("far", F.abs(F.col("band_size") - F.col("src_size")))
+    to = Window.partitionBy("band_group", "band_size")
+    own = F.sum("n").over(Window.partitionBy("band_group", "band_size", "far"))
+    return near.withColumn("own", own).withColumn("upto", F.sum("n").over(to.orderBy("far"))).where(F.col("upto") - F.col("own") < least).select("band_group", "band_size", "src_size")
+
+
+def _quartiles(texts: DataFrame, sizes: DataFrame, on: list[str], bands: FertilityBands) -> DataFrame:
+    met = texts.withColumnRenamed("band_size", "src_size").join(sizes, on)
+    return met.groupBy("band_group", "band_size").agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], bands.accuracy).alias(m) for m in METRICS])
+
+
 def band_table(measured: DataFrame, bands: FertilityBands = FertilityBands()) -> DataFrame:
     """One row per language (or script) and size of text: the lower and upper limit of each measure.
 
     Quartiles come from all texts of at least min_words words, as mergeable sketches: each
-    task sends one sketch per language, however many of the rows a language holds.
+    task sends one sketch per language, however many of the rows a language holds. Every
+    language and size that has such a text has a band.
     """
-    long_enough = measured.where(F.col("n_words") >= bands.min_words)
-    q = long_enough.groupBy("band_group", "band_size").agg(F.count(F.lit(1)).alias("texts"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], bands.accuracy).alias(m) for m in METRICS]).where(F.col("texts") >= bands.min_texts)
+    long_enough = measured.where(F.col("n_words") >= bands.min_words).select("band_group", "band_size", *METRICS)
+    counts = settle(long_enough.groupBy("band_group", "band_size").agg(F.count(F.lit(1)).alias("n")))
+    told = counts.withColumn("few", F.sum("n").over(Window.partitionBy("band_group")) < bands.min_texts)
+    own = _nearest_sizes(told.where("NOT few").select("band_group", "band_size"), counts, bands.min_texts)
+    q = _quartiles(long_enough, own, ["band_group", "src_size"], bands)
+    whole = counts.groupBy("band_size").agg(F.sum("n").alias("n")).select(F.lit("").alias("band_group"), "band_size", "n")
+    few = told.where("few").select("band_group", "band_size")
+    sizes = _nearest_sizes(few.select(F.lit("").alias("band_group"), "band_size").distinct(), whole, bands.min_texts)
+    of_all = _quartiles(long_enough.drop("band_group"), sizes, ["src_size"], bands).drop("band_group")
+    q = q.unionByName(few.join(of_all, "band_size").select(*q.columns))
     out = [F.col("band_group"), F.col("band_size")]
     for m, least in zip(METRICS, bands.least, strict=True):
         reach = F.greatest(bands.reach * (F.col(m)[2] - F.col(m)[0]), F.lit(least))
