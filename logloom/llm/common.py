@@ -51,16 +51,16 @@ def cut(batch: pa.RecordBatch, column: int, at: int = TEXT_BYTES) -> Iterator[pa
         yield batch.slice(a, b - a)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None, at: int = TEXT_BYTES) -> DataFrame:
     """Apply fn to every Arrow batch; it returns the output columns in the schema's order.
 
-    text: number of a string column by whose bytes batches are cut into smaller ones.
+    text: number of a string column by whose bytes batches are cut into slices of about `at`.
     """
     arrow = _arrow_types(schema)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if text is None else (part for whole in batches for part in cut(whole, text)):
+        for batch in batches if text is None else (part for whole in batches for part in cut(whole, text, at)):
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow, strict=True)], names=names)
 

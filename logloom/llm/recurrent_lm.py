@@ -10,11 +10,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import as_row, fields, id_share, map_batches, table
+from logloom.llm.common import as_row, cut, fields, id_share, map_batches, table
 from logloom.sources.shared import settle
 
 
@@ -32,16 +33,17 @@ class RecurrentLm:
     count.
     """
 
-    words: int = 3000
+    words: int = 1000
     frequent: int = 60_000
     word_bytes: int = 64
     hidden: int = 16
-    shard_texts: int = 1000
     rounds: int = 3
     rate: float = 0.02
-    lanes: int = 32
+    fan: int = 64
+    lanes: int = 512
     steps: int = 16
     score_lanes: int = 512
+    text_bytes: int = 16 << 20
     add: float = 0.1
     seed: int = 11
 
@@ -74,7 +76,7 @@ def count_words(texts: DataFrame, held_words: int = 300_000) -> DataFrame:
                 held.update(words_of(t.as_py()))
                 if len(held) > held_words:
                     yield flush()
-                    held = Counter()
+                    held.clear()
         if held:
             yield flush()
 
@@ -119,6 +121,17 @@ class Vocabulary:
         return out, at
 
 
+def _end_to_end(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts laid end to end, the token before each (0 before a text's first), and where texts begin."""
+    y = np.concatenate([np.zeros(0, np.int32), *texts])
+    x, begins = np.zeros_like(y), np.zeros(len(y), bool)
+    x[1:] = y[:-1]
+    first = np.cumsum([0, *map(len, texts)])[:-1]
+    first = first[first < len(y)]
+    begins[first], x[first] = True, 0
+    return y, x, begins
+
+
 class Gru:
     """Gated recurrent units over tokens; output by class of tokens, then by token of the class.
 
@@ -144,8 +157,12 @@ class Gru:
         }
 
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self.gates(self.p["in"].take(x, 0), state)
+
+    def gates(self, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from the input weights of the tokens; a is overwritten."""
         h = self.how.hidden
-        a, u = self.p["in"].take(x, 0), state @ self.p["rec"]
+        u = state @ self.p["rec"]
         a += self.p["bias"]
         zr = a[:, : 2 * h] + u[:, : 2 * h]
         zr *= np.float32(0.5)  # a sigmoid is a tanh of half its argument
@@ -160,42 +177,42 @@ class Gru:
         new += n
         return new, zr, n, u
 
-    def _classes(self, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(class, its rows of y, their places within the class), by one sort."""
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order of y by class, places within the class in it, and (class, first, end) of each that occurs."""
         place = self.place[y]
-        cls = place // self.per
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c in range(self.n_classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                yield c, rows, place[rows] - c * self.per
-
-    def _tops(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort((place // self.per).astype(np.int16), kind="stable")  # sorted by radix
+        sorted_ = place[order]
+        edges = np.searchsorted(sorted_ // self.per, np.arange(self.n_classes + 1)).tolist()
+        return order, sorted_ % self.per, [(c, edges[c], edges[c + 1]) for c in range(self.n_classes) if edges[c] < edges[c + 1]]
+
+    def _tops(self) -> tuple[np.float32, np.ndarray]:
         """The greatest logit that any state can give to a class, and to a token of each class.
 
         States lie between -1 and 1, so a logit is at most its bias and the sum of its weights'
         sizes; less that, exponentials need no maximum of their own.
         """
         most = self.p["out_b"] + np.abs(self.p["out"]).sum(1)
-        return (self.p["cls_b"] + np.abs(self.p["cls"]).sum(0)).max(), np.array([most[c * self.per : (c + 1) * self.per].max() for c in range(self.n_classes)])
+        return (self.p["cls_b"] + np.abs(self.p["cls"]).sum(0)).max(), np.maximum.reduceat(most, np.arange(0, len(most), self.per))
 
-    def log_probability(self, states: np.ndarray, y: np.ndarray, tops: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def log_probability(self, states: np.ndarray, y: np.ndarray, tops: tuple[np.float32, np.ndarray]) -> np.ndarray:
         """Natural logarithm of each token's probability after each state."""
 
         def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
             own = z[np.arange(len(z)), at]
             np.exp(z, out=z)
-            return own - np.log(z @ np.ones(z.shape[1], np.float32))
+            return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
-        logits = states @ self.p["cls"]
+        order, at, classes = self._by_class(y)
+        s, out = states[order], np.empty(len(y), states.dtype)
+        logits = s @ self.p["cls"]
         logits += self.p["cls_b"] - tops[0]
-        out = log_share(logits, self.place[y] // self.per)
-        for c, rows, at in self._classes(y):
+        got = log_share(logits, np.repeat([c for c, _, _ in classes], [b - a for _, a, b in classes]))
+        for c, a, b in classes:
             own = slice(c * self.per, (c + 1) * self.per)
-            z = states[rows] @ self.p["out"][own].T
+            z = s[a:b] @ self.p["out"][own].T
             z += self.p["out_b"][own] - tops[1][c]
-            out[rows] += log_share(z, at)
+            got[a:b] += log_share(z, at[a:b])
+        out[order] = got
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -203,7 +220,8 @@ class Gru:
 
         Texts are dealt to lanes of about equal length; a lane carries its state from window to
         window through a whole text and clears it where the next text begins. Longer lanes come
-        first, so that lanes that have ended are cut off the end.
+        first, so that lanes that have ended are cut off the end. Lanes lie end to end in one
+        array, so a text much longer than the others takes no room in their lanes.
         """
         n = max(1, min(self.how.score_lanes, len(texts)))
         lanes: list[list[int]] = [[] for _ in range(n)]
@@ -212,84 +230,92 @@ class Gru:
             size, k = heapq.heappop(load)
             lanes[k].append(i)
             heapq.heappush(load, (size + len(texts[i]), k))
-        lanes.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
-        sizes = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
+        lanes = [lane for lane in sorted(lanes, key=lambda lane: -sum(len(texts[i]) for i in lane)) if lane]
         out = np.zeros(len(texts))
-        width = int(sizes.max()) if len(texts) else 0
-        x, y, doc = np.zeros((width, n), np.int32), np.zeros((width, n), np.int32), np.zeros((width, n), np.int32)
-        fresh = np.zeros((width, n), bool)
-        for k, lane in enumerate(lanes):
-            at = 0
-            for i in lane:
-                t = texts[i]
-                y[at : at + len(t), k], x[at + 1 : at + len(t), k], doc[at : at + len(t), k] = t, t[:-1], i
-                fresh[at, k] = True
-                at += len(t)
-        state = np.zeros((n, self.how.hidden), np.float32)
+        if not lanes:
+            return out
+        sizes = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
+        y, x, fresh = _end_to_end([texts[i] for lane in lanes for i in lane])
+        owner = np.repeat(np.array([i for lane in lanes for i in lane], np.int32), [len(texts[i]) for lane in lanes for i in lane])
+        first = np.cumsum(sizes) - sizes
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # lanes longer than t
+        state = np.zeros((len(lanes), self.how.hidden), np.float32)
         window, tops = 32, self._tops()
-        for at in range(0, width, window):
-            states, live = [], int((sizes > at).sum())
-            ends = min(width, at + window)
-            counts = []
-            for t in range(at, ends):
-                live = int((sizes[:live] > t).sum())
-                state = state[:live]
-                state[fresh[t, :live]] = 0
-                state = self.step(x[t, :live], state)[0]
+        for at in range(0, int(sizes[0]), window):
+            states, places = [], []
+            for t in range(at, min(int(sizes[0]), at + window)):
+                here = first[: live[t]] + t
+                state = state[: live[t]]
+                if fresh[here].any():
+                    state[fresh[here]] = 0
+                state = self.step(x[here], state)[0]
                 states.append(state)
-                counts.append(live)
-            target = np.concatenate([y[t, :m] for t, m in zip(range(at, ends), counts, strict=True)])
-            owner = np.concatenate([doc[t, :m] for t, m in zip(range(at, ends), counts, strict=True)])
-            out += np.bincount(owner, self.log_probability(np.concatenate(states), target, tops), minlength=len(texts))
+                places.append(here)
+            here = np.concatenate(places)
+            out += np.bincount(owner[here], self.log_probability(np.concatenate(states), y[here], tops), minlength=len(texts))
         return out / np.log(10)
 
     def fit(self, texts: list[np.ndarray], rate: float) -> int:
-        """One pass of truncated back-propagation over the texts laid end to end in lanes."""
+        """One pass of truncated back-propagation over the texts laid end to end in lanes.
+
+        The lanes' last few tokens that fill no row are left over, fewer than there are lanes.
+        """
         how, h = self.how, self.how.hidden
-        flat_x = np.concatenate([np.concatenate([[0], t[:-1]]) for t in texts] or [np.zeros(0, np.int32)]).astype(np.int64)
-        flat_y = np.concatenate(texts or [np.zeros(0, np.int32)]).astype(np.int64)
-        begins = np.zeros(len(flat_y), bool)
-        begins[np.cumsum([0, *(len(t) for t in texts[:-1])])[: len(texts)]] = True
+        flat_y, flat_x, begins = _end_to_end(texts)
         lanes = max(1, min(how.lanes, len(flat_y) // how.steps))
         width = len(flat_y) // lanes
         if not width:
             return 0
-        x, y, fresh = (a[: lanes * width].reshape(lanes, width).T for a in (flat_x, flat_y, begins))
+        x, y, fresh = (np.ascontiguousarray(a[: lanes * width].reshape(lanes, width).T) for a in (flat_x, flat_y, begins))
         state = np.zeros((lanes, h), np.float32)
         m, v, t_adam = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         for at in range(0, width, how.steps):
-            span = range(at, min(width, at + how.steps))
-            trace, states = [], []
-            for t in span:
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-                before = state
-                state, zr, n, u = self.step(x[t], before)
-                trace.append((before, zr, n, u))
-                states.append(state)
-            grad, dstates = self._output_gradient(np.concatenate(states), y[at : span.stop].ravel())
-            carry = np.zeros_like(state)
-            d_in, grad["rec"] = [], np.zeros_like(self.p["rec"])
-            for k in range(len(span) - 1, -1, -1):
-                before, zr, n, u = trace[k]
-                d = dstates[k * lanes : (k + 1) * lanes] + carry
+            n_steps = min(how.steps, width - at)
+            x_in = x[at : at + n_steps].ravel()
+            a_in = self.p["in"].take(x_in, 0).reshape(n_steps, lanes, 3 * h)
+            before, after = np.empty((n_steps, lanes, h), np.float32), np.empty((n_steps, lanes, h), np.float32)
+            trace = []
+            for t in range(n_steps):
+                if fresh[at + t].any():
+                    state = np.where(fresh[at + t][:, None], np.float32(0), state)
+                before[t] = state
+                state, zr, n, u = self.gates(a_in[t], state)
+                trace.append((zr, n, u))
+                after[t] = state
+            grad, d_out = self._output_gradient(after.reshape(-1, h), y[at : at + n_steps].ravel())
+            d_out = d_out.reshape(n_steps, lanes, h)
+            carry = np.zeros((lanes, h), np.float32)
+            da, du = np.empty((n_steps, lanes, 3 * h), np.float32), np.empty((n_steps, lanes, 3 * h), np.float32)
+            back = np.ascontiguousarray(self.p["rec"].T)
+            for t in range(n_steps - 1, -1, -1):
+                zr, n, u = trace[t]
                 z, r = zr[:, :h], zr[:, h:]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * u[:, 2 * h :] * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                grad["rec"] += before.T @ du
-                carry = (d * z + du @ self.p["rec"].T) * ~fresh[span[k]][:, None]
-                d_in.append(da)
-            da = np.concatenate(d_in[::-1])
+                d = d_out[t] + carry
+                dz = d * z
+                dn = d - dz
+                carry = dz.copy()
+                dz *= before[t] - n
+                dz *= 1 - z
+                dn *= 1 - n * n
+                da[t, :, :h], da[t, :, 2 * h :] = dz, dn
+                dn *= r
+                du[t, :, :h], du[t, :, 2 * h :] = dz, dn
+                dn *= u[:, 2 * h :]
+                dn *= 1 - r
+                da[t, :, h : 2 * h] = du[t, :, h : 2 * h] = dn
+                carry += du[t] @ back
+                if fresh[at + t].any():
+                    carry[fresh[at + t]] = 0
+            da = da.reshape(-1, 3 * h)
+            grad["rec"] = before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
             grad["bias"] = da.sum(0)
             t_adam += 1
-            rows, inverse = np.unique(x[at : span.stop].ravel(), return_inverse=True)
-            sparse = np.zeros((len(rows), 3 * h), np.float32)
-            np.add.at(sparse, inverse, da)
+            order = np.argsort(x_in, kind="stable")
+            ranked = x_in[order]
+            edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             for k, g in grad.items():
                 self._adam(k, slice(None), g, m, v, t_adam, rate)
-            self._adam("in", rows, sparse, m, v, t_adam, rate)
+            self._adam("in", ranked[edges], np.add.reduceat(da[order], edges, axis=0), m, v, t_adam, rate)
         return lanes * width
 
     def _adam(self, k: str, rows, g: np.ndarray, m: dict, v: dict, t: int, rate: float) -> None:
@@ -299,22 +325,32 @@ class Gru:
 
     def _output_gradient(self, states: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss: of the output weights, and of each state."""
-        n = np.float32(len(y))
-        logits = states @ self.p["cls"] + self.p["cls_b"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True) * n
-        e[np.arange(len(y)), self.place[y] // self.per] -= 1 / n
-        grad = {"cls": states.T @ e, "cls_b": e.sum(0), "out": np.zeros_like(self.p["out"]), "out_b": np.zeros_like(self.p["out_b"])}
-        d = e @ self.p["cls"].T
-        for c, rows, at in self._classes(y):
+        n, tops = np.float32(len(y)), self._tops()
+        order, at, classes = self._by_class(y)
+        s = states[order]
+        ones = lambda e: e @ np.ones(e.shape[1], e.dtype)
+
+        def less_own(e: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """From exponentials, the gradient of the logits."""
+            e *= (1 / (np.maximum(ones(e), np.float32(1e-35)) * n))[:, None]
+            e[np.arange(len(e)), own] -= 1 / n
+            return e
+
+        e = s @ self.p["cls"]
+        e += self.p["cls_b"] - tops[0]
+        e = less_own(np.exp(e, out=e), np.repeat([c for c, _, _ in classes], [b - a for _, a, b in classes]))
+        grad = {"cls": s.T @ e, "cls_b": e.sum(0), "out": np.zeros_like(self.p["out"]), "out_b": np.zeros_like(self.p["out_b"])}
+        d_sorted = e @ self.p["cls"].T
+        for c, a, b in classes:
             own = slice(c * self.per, (c + 1) * self.per)
-            z = states[rows] @ self.p["out"][own].T + self.p["out_b"][own]
-            e = np.exp(z - z.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True) * n
-            e[np.arange(len(rows)), at] -= 1 / n
-            grad["out"][own] = e.T @ states[rows]
+            e = s[a:b] @ self.p["out"][own].T
+            e += self.p["out_b"][own] - tops[1][c]
+            e = less_own(np.exp(e, out=e), at[a:b])
+            grad["out"][own] = e.T @ s[a:b]
             grad["out_b"][own] = e.sum(0)
-            d[rows] += e @ self.p["out"][own]
+            d_sorted[a:b] += e @ self.p["out"][own]
+        d = np.empty_like(d_sorted)
+        d[order] = d_sorted
         return grad, d
 
     def packed(self) -> np.ndarray:
@@ -342,29 +378,31 @@ def _vocabulary(counts: DataFrame, n_texts: int, how: RecurrentLm) -> Vocabulary
     return Vocabulary(sorted(((bytes(r["word"]), r["kind"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0])), n_texts, totals, how)
 
 
-def _average(copies: DataFrame) -> DataFrame:
-    """Mean of the weights' pieces over copies, each as heavy as the tokens it saw, in two rounds."""
+def _average(copies: DataFrame, fan: int) -> list:
+    """Pieces of the mean of all copies, each as heavy as the tokens it saw: a tree of means of `fan` copies at most."""
 
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("copy")
         w = group.column("tokens").to_numpy().astype(np.float64)
-        values = np.stack([np.frombuffer(x.as_py(), np.float32) for x in group.column("weights")])
-        made = (w @ values / w.sum()).astype(np.float32)
-        return pa.table({"piece": [group.column("piece")[0].as_py()], "part": pa.array([0], pa.int64()), "tokens": [int(w.sum())], "weights": pa.array([made.tobytes()], pa.binary())})
+        made = sum(n / w.sum() * np.frombuffer(x.as_py(), np.float32) for n, x in zip(w, group.column("weights"), strict=True)).astype(np.float32)
+        return pa.table({"piece": [group.column("piece")[0].as_py()], "copy": [group.column("copy")[0].as_py() // fan], "tokens": [int(w.sum())], "weights": pa.array([made.tobytes()], pa.binary())})
 
-    schema = "piece bigint, part bigint, tokens bigint, weights binary"
-    return copies.groupBy("piece", "part").applyInArrow(mean, schema).groupBy("piece").applyInArrow(mean, schema)
+    last = copies.agg(F.max("copy")).first()[0]
+    while last:
+        copies = copies.groupBy("piece", F.expr(f"copy div {fan}")).applyInArrow(mean, copies.schema)
+        last //= fan
+    return sorted(copies.select("piece", "weights").collect())
 
 
 def fit_model(texts: DataFrame, vocabulary: Vocabulary, how: RecurrentLm) -> Gru:
-    """Fit copies of the model to shards of the texts, average them, and go on from the mean.
+    """Fit copies of the model to partitions of the texts, average them, and go on from the mean.
 
-    texts has text. The number of shards grows with them. What comes to the driver is one copy
-    of the weights a round, whatever the input.
+    Every text is learnt from once, in the round that a hash of it names, by the task that reads
+    it; so the number of copies follows the input's partitions. What comes to the driver is one
+    copy of the weights a round, whatever the input.
     """
     spark = texts.sparkSession
     model = Gru(vocabulary.unigram, how)
-    shards = max(1, -(-texts.count() // how.shard_texts))
-    dealt = settle(texts.repartition(shards))  # in turn, so that copies of a text part
     words = spark.sparkContext.broadcast(vocabulary)
     piece = 1 << 14
     for k in range(how.rounds):
@@ -375,15 +413,16 @@ def fit_model(texts: DataFrame, vocabulary: Vocabulary, how: RecurrentLm) -> Gru
             vocab = words.value
             copy = Gru(vocab.unigram, how)
             copy.unpack(start.value)
-            seen = sum(copy.fit([vocab.tokens(words_of(t.as_py()))[0] for t in batch.column(0)], rate) for batch in batches if batch.num_rows)
+            parts = (part for batch in batches for part in cut(batch, 0, how.text_bytes) if part.num_rows)
+            seen = sum(copy.fit([vocab.tokens(words_of(t.as_py()))[0] for t in part.column(0)], rate) for part in parts)
             if seen:
                 flat = copy.packed()
                 pieces = [flat[a : a + piece].tobytes() for a in range(0, len(flat), piece)]
-                part = int(np.frombuffer(pieces[0][:8], np.uint64)[0] % 64)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([part] * len(pieces), pa.int64()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "part", "tokens", "weights"])
+                own = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([own] * len(pieces), pa.int64()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "copy", "tokens", "weights"])
 
-        copies = dealt.mapInArrow(fit, fields("piece bigint, part bigint, tokens bigint, weights binary"))
-        mean = sorted(_average(copies).select("piece", "weights").collect())
+        of_round = texts.where(F.pmod(F.xxhash64(F.lit(how.seed), "text"), F.lit(how.rounds)) == k)
+        mean = _average(settle(of_round.mapInArrow(fit, fields("piece bigint, copy bigint, tokens bigint, weights binary"))), how.fan)
         if mean:
             model.unpack(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in mean]))
     return model
@@ -416,21 +455,14 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, mode
                 for o, v in zip(more, (rid, w, kind_of(w), n), strict=True):
                     o.append(v)
             head.append(b" %d" % rid)  # no word holds a blank, so a text's own row meets no count
-        score = np.zeros(len(rids))
-        group, size = [], 0
-        for i in range(len(rids)):
-            group.append(i)
-            size += len(tokens[i])
-            if size > 3_000_000 or i == len(rids) - 1:
-                score[group] = gru.score([tokens[g] for g in group])
-                group, size = [], 0
+        score = gru.score(tokens)
         n, m = len(rids), len(more[0])
         own_rows = batch.column(0)
         picked = pa.concat_arrays([own_rows, pa.nulls(m, own_rows.type)]) if m else own_rows
         pad = lambda a: [*a, *[0] * m]
         return [rids + more[0], head + more[1], [0] * n + more[2], [0] * n + more[3], picked, pad(map(len, tokens)), pad(known), pad(map(float, base)), pad((score + np.array(within)).tolist())]
 
-    scored = map_batches(rows, of, schema)
+    scored = map_batches(rows, of, schema, text=1, at=how.text_bytes)
     below, base_below = F.array(*[F.lit(float(k)) for k in vocabulary.kind_below]), float(vocabulary.base_below)
     c = F.coalesce(F.col("c"), F.lit(0))
     log_count = F.log10(c + how.add)
