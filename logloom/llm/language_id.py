@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logloom.llm.common import as_row, fields, id_share, map_batches, table
 from logloom.sources.shared import settle
@@ -21,22 +22,21 @@ UNKNOWN = "und"
 class Ppm:
     """Production parameters.
 
-    depth: bytes of the longest context. contexts: of each length, at most so many over all
-    languages have a node, the most frequent ones; they bound the trees' size, not the counts,
-    which cover all texts. symbols: bytes told apart, the most frequent ones; the others share
-    one symbol and divide its probability evenly. max_langs: languages told apart at most, the
-    most frequent. cells: of all tables together; contexts is lowered to keep within them.
+    depth: bytes of the longest context. contexts: of each length, a language has nodes for at
+    most so many of its own, its most frequent ones; after another context its code is that of
+    the shorter one. They bound a tree's size, not the counts, which cover all texts.
+    block_langs: languages whose trees are one table; a text meets one table after another, so
+    their number is not bounded. A table has at most contexts * block_langs nodes a length.
     """
 
     depth: int = 3
-    contexts: int = 30_000
-    symbols: int = 127
-    max_langs: int = 64
-    cells: int = 24_000_000
+    contexts: int = 8_000
+    block_langs: int = 4
 
 
-#: Bytes of a text that are worked on at once.
+#: Bytes of a text that are worked on at once, and nodes whose probabilities are.
 PIECE = 500_000
+_NODES = 1024
 
 
 def _pieces(raw: bytes, depth: int) -> Iterator[bytes]:
@@ -108,36 +108,45 @@ def count_grams(docs: DataFrame, text: str, lang: str, how: Ppm) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _probabilities(n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """From counts of symbols (node, symbol, language) and the probabilities after the shorter contexts."""
+    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+    unseen = np.where(n > 0, 0.0, prior)
+    rest = unseen.sum(1, keepdims=True)
+    # Where every symbol has been seen nothing is left to escape to, and the counts are all.
+    open_ = rest > 1e-12
+    bottom = np.maximum(np.where(open_, total + kinds, total), 1)
+    return np.where(total > 0, n / bottom + np.where(open_, kinds / bottom * unseen / np.where(open_, rest, 1), 0.0), prior)
+
+
 class ContextTrees:
-    """One tree of byte contexts for each language, frozen into tables of code lengths.
+    """Trees of byte contexts of some languages, frozen into tables of code lengths.
 
     Node k of a length stands for the same context in every language. Where a language has seen
-    a symbol after a context n times of N, with d symbols seen, its probability is n / (N + d);
-    the escape d / (N + d) is shared among the unseen ones in proportion to their probability
-    after the context that is one byte shorter. So the probabilities after each context sum to
-    one, and the sum of code lengths is the exact length of the text's code.
+    a byte after a context n times of N, with d bytes seen, its probability is n / (N + d); the
+    escape d / (N + d) is shared among the unseen ones in proportion to their probability after
+    the context that is one byte shorter. So the probabilities after each context sum to one,
+    and the sum of code lengths is the exact length of the text's code. Bytes that no language
+    of the table has seen are equally likely after every context, and share one symbol.
     """
 
     def __init__(self, langs: list[str], counts: list[dict[str, np.ndarray]], how: Ppm):
         """counts[k]: rows (lang number, gram of k + 1 bytes, n) of contexts of k bytes, k = 0 … depth."""
         self.langs, self.how = langs, how
         n_langs = len(langs)
-        freq = np.zeros(256)
-        np.add.at(freq, counts[0]["gram"].astype(np.int64), counts[0]["n"])
-        order = np.argsort(-freq, kind="stable")[: how.symbols]
-        order = order[freq[order] > 0]
-        self.symbol = np.full(256, len(order), np.int64)  # the last symbol: any other byte
-        self.symbol[order] = np.arange(len(order))
-        n_sym = len(order) + 1
-        share = np.log2(max(1, 256 - len(order)))
-        most = max(1, min(how.contexts, how.cells // (n_sym * n_langs * (how.depth + 1))))
-        prior = np.full((1, n_sym, n_langs), 1.0 / n_sym)
+        own = np.unique(np.append(counts[0]["gram"].astype(np.int64), 0))  # zero stands before a text
+        self.symbol = np.full(256, len(own), np.int64)  # the last symbol: any other byte
+        self.symbol[own] = np.arange(len(own))
+        n_sym = len(own) + 1
+        share = np.log2(max(1, 256 - len(own)))
+        prior = np.full((1, n_sym, n_langs), 1.0 / 256, np.float32)
+        prior[:, -1] *= 256 - len(own)
         self.find: list[np.ndarray] = []
         tables, parents = [], np.zeros(1, np.int64)
         numbers = np.zeros(1, np.int64)  # contexts that have a node, as symbol strings in base n_sym
         offset, self.base = 0, []
         for k, c in enumerate(counts):
-            gram = c["gram"].astype(np.int64)
+            gram, lang, weight = c["gram"].astype(np.int64), c["lang"].astype(np.int64), c["n"].astype(np.float64)
             syms = [self.symbol[(gram >> (8 * (k - i))) & 255] for i in range(k + 1)]
             context = np.zeros(len(gram), np.int64)
             for s in syms[:-1]:
@@ -146,32 +155,29 @@ class ContextTrees:
                 # A context has a node only if the one shorter by its first byte has one.
                 shorter = context % n_sym ** (k - 1)
                 at = np.searchsorted(numbers, shorter)
-                known = numbers[np.minimum(at, len(numbers) - 1)] == shorter
-                seen, inverse = np.unique(context[known], return_inverse=True)
-                weight = np.bincount(inverse, c["n"][known], minlength=len(seen))
-                kept = np.sort(np.argsort(-weight, kind="stable")[:most])
-                fresh = seen[kept]
+                known = (numbers[np.minimum(at, len(numbers) - 1)] == shorter) if len(numbers) else np.zeros(len(gram), bool)
+                context, lang, weight, last = context[known], lang[known], weight[known], syms[-1][known]
+                fresh = np.unique(context)
                 parents = np.searchsorted(numbers, fresh % n_sym ** (k - 1))
                 # From node of the shorter context and the byte before it to the node.
                 step = np.full((len(numbers), n_sym), -1, np.int32)
                 step[parents, fresh // n_sym ** (k - 1)] = np.arange(len(fresh))
                 self.find.append(step)
                 numbers = fresh
-                prior = prior[parents]
-            n = np.zeros((max(1, len(numbers)), n_sym, n_langs))
-            at = np.searchsorted(numbers, context)
-            own = (numbers[np.minimum(at, len(numbers) - 1)] == context) if len(numbers) else np.zeros(len(gram), bool)
-            np.add.at(n, (at[own], syms[-1][own], c["lang"][own].astype(np.int64)), c["n"][own])
-            n = n[: len(numbers)]
-            total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            unseen = np.where(n > 0, 0.0, prior)
-            rest = unseen.sum(1, keepdims=True)
-            # Where every symbol has been seen nothing is left to escape to, and the counts are all.
-            bottom = np.maximum(np.where(rest > 0, total + kinds, total), 1)
-            prior = np.where(total > 0, n / bottom + np.where(rest > 0, kinds / bottom * unseen / np.where(rest > 0, rest, 1), 0.0), prior)
-            bits = -np.log2(np.maximum(prior, 1e-300))
+            else:
+                last = syms[-1]
+            order = np.argsort(context, kind="stable")
+            node, last, lang, weight = np.searchsorted(numbers, context[order]), last[order], lang[order], weight[order]
+            made = np.empty((len(numbers), n_sym, n_langs), np.float32)
+            for first in range(0, len(numbers), _NODES):
+                a, b = np.searchsorted(node, [first, first + _NODES])
+                n = np.zeros((min(_NODES, len(numbers) - first), n_sym, n_langs))
+                np.add.at(n, (node[a:b] - first, last[a:b], lang[a:b]), weight[a:b])
+                made[first : first + _NODES] = _probabilities(n, prior[parents[first : first + _NODES]])
+            prior = made
+            bits = -np.log2(np.maximum(made, 1e-37))
             bits[:, -1] += share
-            tables.append(bits.astype(np.float32))
+            tables.append(bits)
             self.base.append(offset)
             offset += len(bits)
         self.bits = np.concatenate(tables).reshape(-1, n_langs)
@@ -207,53 +213,78 @@ class ContextTrees:
             np.add.at(out[:, lang], owner, total[ends] - total[starts])
 
 
-def fit_trees(docs: DataFrame, text: str = "text", lang: str = "lang", how: Ppm = Ppm()) -> ContextTrees | None:
-    """Trees from all rows with a text and a language; None if there are none."""
+def fit_trees(docs: DataFrame, text: str = "text", lang: str = "lang", how: Ppm = Ppm()) -> list[bytes]:
+    """Pickled ContextTrees of all languages that have a row with a text, block_langs in each; none without such rows.
+
+    Contexts are chosen and tables built on the executors, each from the rows of its own
+    languages' nodes; only finished tables come to the driver, to be sent to the tasks.
+    """
     grams = settle(count_grams(docs, text, lang, how))
-    chosen = grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(how.max_langs).collect()
-    langs = sorted(r["lang"] for r in chosen)
-    if not langs:
-        return None
-    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    counts = []
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())  # names alone
+    blocks = [langs[k : k + how.block_langs] for k in range(0, len(langs), how.block_langs)]
+    place = F.create_map(*[x for b, own in enumerate(blocks) for k, name in enumerate(own) for x in (F.lit(name), F.struct(F.lit(b).alias("block"), F.lit(k).alias("lang")))]) if langs else None
+    if place is None:
+        return []
+    rows = []
     for k in range(how.depth + 1):
-        # Contexts are chosen by their count over all languages, so each collected table has
-        # at most contexts rows times symbols times languages, whatever the input.
-        short = grams.where(F.col("lang").isin(langs)).groupBy("lang", (F.col("gram") % (1 << 8 * (k + 1))).alias("gram")).agg(F.sum("n").alias("n"))
+        short = grams.groupBy("lang", (F.col("gram") % (1 << 8 * (k + 1))).alias("gram")).agg(F.sum("n").alias("n"))
         if k > 1:
-            top = short.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("weight")).orderBy(F.desc("weight"), "context").limit(how.contexts).select("context")
-            short = short.join(F.broadcast(top), F.shiftright("gram", 8) == F.col("context")).drop("context")
-        got = short.select(number.cast("int").alias("lang"), "gram", "n").toPandas()
-        counts.append({c: got[c].to_numpy() for c in ("lang", "gram", "n")})
-    return ContextTrees(langs, counts, how)
+            by_weight = Window.partitionBy("lang").orderBy(F.desc("weight"), "context")
+            top = short.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("weight")).withColumn("place", F.row_number().over(by_weight)).where(F.col("place") <= how.contexts)
+            short = short.withColumn("context", F.shiftright("gram", 8)).join(settle(top.select("lang", "context")), ["lang", "context"], "left_semi")
+        rows.append(short.select(place[F.col("lang")].alias("at"), F.lit(k).alias("size"), "gram", "n").select("at.block", "at.lang", "size", "gram", "n"))
+
+    def build(group: pa.Table) -> pa.Table:
+        columns = {c: group.column(c).to_numpy() for c in ("lang", "size", "gram", "n")}
+        block = group.column("block")[0].as_py()
+        parts = [{c: columns[c][columns["size"] == k] for c in ("lang", "gram", "n")} for k in range(how.depth + 1)]
+        packed = pickle.dumps(ContextTrees(blocks[block], parts, how), protocol=5)
+        cuts = [packed[a : a + _SENT] for a in range(0, len(packed), _SENT)]
+        return pa.table({"block": pa.array([block] * len(cuts), pa.int32()), "part": pa.array(range(len(cuts)), pa.int32()), "bytes": pa.array(cuts, pa.binary())})
+
+    made = settle(reduce(DataFrame.unionByName, rows).groupBy("block").applyInArrow(build, fields("block int, part int, bytes binary")))
+    out: list[list[bytes]] = [[] for _ in blocks]
+    for r in made.orderBy("block", "part").collect():
+        out[r["block"]].append(bytes(r["bytes"]))
+    return [b"".join(x) for x in out]
 
 
-def predict(docs: DataFrame, trees: ContextTrees | None, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+#: Bytes of a table in one row.
+_SENT = 8 << 20
+
+
+@lru_cache(maxsize=2)
+def _trees(packed: bytes) -> ContextTrees:
+    return pickle.loads(packed)
+
+
+def predict(docs: DataFrame, trees: list[bytes], text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns `row`, lang_pred, score and bits_per_byte of the whole text in the predicted code.
 
     score is the posterior probability of the language among the learned ones, each as likely
     beforehand. Texts that are null or without a letter, and all texts if nothing was learned,
-    are `und` with score 0. Equal code lengths: the language that sorts first.
+    are `und` with score 0. Equal code lengths: the language that sorts first. Each table is met
+    in a step of its own, which carries on the best code so far and the sum of likelihoods.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
-
-    def of(batch: pa.RecordBatch) -> list:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        model = sent.value
-        raws = [t.encode("utf-8", "replace") for t in texts]
-        if model is None:
-            return [batch.column(0), [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)]
-        bits = model.code_lengths(raws)
-        best = bits.argmin(1) if len(texts) else np.zeros(0, int)
-        score = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1) if len(texts) else np.zeros(0)
-        spoken = [any(map(str.isalpha, t)) for t in texts]
-        return [
-            batch.column(0), [model.langs[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)], [float(p) if s else 0.0 for p, s in zip(score, spoken, strict=True)],
-            [float(bits[i, b]) / len(raws[i]) if raws[i] else None for i, b in enumerate(best)],
-        ]
-
     rows = as_row(docs, keep, F.col(text).cast("string").alias("text"))
-    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("lang_pred string, score double, bits_per_byte double").fields]), text=1)
+    met = rows.withColumns({"who": F.lit(None).cast("string"), "best": F.lit(None).cast("double"), "mass": F.lit(0.0)})
+    for packed in trees:
+        sent = docs.sparkSession.sparkContext.broadcast(packed)
+
+        def of(batch: pa.RecordBatch, sent=sent) -> list:
+            model = _trees(sent.value)
+            bits = model.code_lengths([(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+            old = np.array([np.inf if x is None else x for x in batch.column(3).to_pylist()])
+            here = bits.min(1)
+            best = np.minimum(here, old)
+            mass = np.array(batch.column(4).to_pylist()) * np.exp2(np.where(np.isfinite(old), best - old, 0)) + np.exp2(best[:, None] - bits).sum(1)
+            who = [model.langs[k] if new else name for k, new, name in zip(bits.argmin(1), here < old, batch.column(2).to_pylist(), strict=True)]
+            return [batch.column(0), batch.column(1), who, best.tolist(), mass.tolist()]
+
+        met = map_batches(met, of, met.schema, text=1)
+    spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.col("who").isNotNull()
+    size = F.octet_length("text")
+    return met.select("row", F.when(spoken, F.col("who")).otherwise(UNKNOWN).alias("lang_pred"), F.when(spoken, 1 / F.col("mass")).otherwise(0.0).alias("score"), F.when(size > 0, F.col("best") / size).alias("bits_per_byte"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
