@@ -24,19 +24,22 @@ class SimHash:
     shingle: words. radius: bits that may differ. bands: metrics that a tree is built for, each
     the Hamming distance over an equal part of the bits; two fingerprints within the radius are
     within radius // bands in at least one of them, so smaller balls are searched, and less of
-    them crosses a border. leaf: fingerprints that a leaf holds on average. share, sample: of the
-    fingerprints that the trees are built from on the driver, and how many of them about at most
-    (8 bytes each); all are searched. block: fingerprints compared with as many others at once.
-    seed: of the shingles' hashes.
+    them crosses a border. With more bands than the radius has bits nothing crosses one, and a
+    fingerprint goes to one leaf of each tree at every size of the input. leaf: fingerprints that
+    a leaf holds on average. share, sample: of the fingerprints that the trees are built from on
+    the driver, and how many of them about at most (8 bytes each); all are searched. block:
+    fingerprints of a leaf that meet in one task about; larger leaves are dealt into runs. plain:
+    comparisons of a task that need no tree of their own. seed: of the shingles' hashes.
     """
 
     shingle: int = 3
     radius: int = 3
-    bands: int = 2
+    bands: int = 4
     leaf: int = 256
     share: float = 0.125
     sample: int = 100_000
-    block: int = 4096
+    block: int = 65_536
+    plain: int = 1 << 22
     seed: int = 42
 
 
@@ -177,13 +180,35 @@ def _link_blocks(homes: np.ndarray, others: np.ndarray, radius: int) -> tuple[np
     return points[moved], points[parent[moved]]
 
 
+def _link_leaf(homes: np.ndarray, points: np.ndarray, how: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between homes and points; many are searched by a tree over all bits."""
+    if len(homes) * len(points) <= how.plain:
+        return _link_blocks(homes, points, how.radius)
+    tree = VantageTree(homes, (1 << 64) - 1, how.radius, len(homes) // 64, how.seed)
+    index, leaf, home = tree.visits(homes)
+    order = np.argsort(leaf[home], kind="stable")
+    own, edges = homes[index[home][order]], np.searchsorted(leaf[home][order], np.arange(tree.leaves + 1))
+    src, dst = [], []
+    for k in range(0, len(points), 1 << 13):
+        part = points[k : k + (1 << 13)]
+        index, leaf, _ = tree.visits(part)
+        order = np.argsort(leaf, kind="stable")
+        index, leaf = index[order], leaf[order]
+        cuts = np.searchsorted(leaf, np.arange(tree.leaves + 1))
+        for n in np.flatnonzero(np.diff(cuts)):
+            s, d = _link_blocks(own[edges[n] : edges[n + 1]], part[index[cuts[n] : cuts[n + 1]]], how.radius)
+            src.append(s)
+            dst.append(d)
+    return np.concatenate(src), np.concatenate(dst)
+
+
 def near_links(distinct: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """Columns src, dst: links that join exactly the fingerprints that chains of near pairs join.
 
     distinct has fp, each value once. Every fingerprint goes to its home leaf and, as a visitor,
-    to the leaves that its ball reaches; leaves are packed into blocks, and each home block meets
-    each block of its leaf. Leaves that hold many points are dealt into several runs, so that no
-    task gathers one.
+    to the leaves that its ball reaches; the homes of a leaf meet all its points in one task. A
+    leaf that holds many points is dealt into runs, and every two runs of it meet in a task of
+    their own, so that no task gathers a whole one.
     """
     spark = distinct.sparkSession
     total = distinct.count()
@@ -193,53 +218,42 @@ def near_links(distinct: DataFrame, how: SimHash = SimHash()) -> DataFrame:
 
     def route(batch: pa.RecordBatch) -> list:
         points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(5)]
         for band, (tree, runs) in enumerate(trees.value):
             index, leaf, home = tree.visits(points)
-            fp = points[index]
-            out[0].append(leaf * how.bands + band)
-            out[1].append(((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % runs[leaf])
-            out[2].append(fp.view(np.int64))
-            out[3].append(home)
+            of_leaf = runs[leaf]
+            run = ((points[index] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % of_leaf
+            at = np.repeat(np.arange(len(index)), of_leaf)  # once for each run that its own run meets
+            other = np.arange(len(at)) - np.repeat(np.cumsum(of_leaf) - of_leaf, of_leaf)
+            for o, v in zip(out, (leaf[at] * how.bands + band, np.minimum(run[at], other), np.maximum(run[at], other), points[index[at]].view(np.int64), home[at]), strict=True):
+                o.append(v)
         return [pa.array(np.concatenate(x)) for x in out]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal leaves, cut at the block size; rows come sorted by leaf."""
-        last, fps, homes, n = None, [], [], 0
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by leaf and runs; each group is linked when it ends."""
+        key, fps, homes = None, [], []
 
-        def block() -> pa.RecordBatch:
-            fp, home = np.concatenate(fps), np.concatenate(homes)
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([fp[home].tobytes()], pa.binary()), pa.array([fp.tobytes()], pa.binary())], names=["leaf", "homes", "points"])
+        def linked() -> pa.RecordBatch:
+            fp, home = np.concatenate(fps).astype(np.int64).view(np.uint64), np.concatenate(homes).astype(bool)
+            pairs = _link_leaf(fp[home], fp, how) if home.any() else (np.zeros(0, np.uint64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pairs], names=["src", "dst"])
 
         for batch in batches:
-            leaf, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(leaf)) + 1, [len(leaf)]]) if len(leaf) else []
+            *keys, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            edges = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist(), len(fp)] if len(fp) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                for c in range(a, b, how.block):
-                    d = min(b, c + how.block)
-                    if last is not None and (leaf[c] != last or n + d - c > how.block):
-                        yield block()
-                        fps, homes, n = [], [], 0
-                    last = int(leaf[c])
-                    fps.append(fp[c:d])
-                    homes.append(home[c:d].astype(bool))
-                    n += d - c
-        if n:
-            yield block()
-
-    def link(batch: pa.RecordBatch) -> list:
-        src, dst = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for a, b in zip(batch.column(0), batch.column(1), strict=True):
-            s, d = _link_blocks(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), how.radius)
-            src.append(s)
-            dst.append(d)
-        return [pa.array(np.concatenate(x).view(np.int64)) for x in (src, dst)]
-
-    routed = map_batches(distinct.select("fp"), route, fields("leaf bigint, run bigint, fp bigint, home boolean"))
-    blocks = settle(routed.repartition("leaf", "run").sortWithinPartitions("leaf", "run").select("leaf", "fp", "home").mapInArrow(pack, fields("leaf bigint, homes binary, points binary")))
-    homes = blocks.where(F.octet_length("homes") > 0).select("leaf", "homes")
-    met = homes.join(blocks.select("leaf", "points"), "leaf").select("homes", "points")
-    return map_batches(met, link, fields("src bigint, dst bigint")).distinct()
+                own = tuple(int(k[a]) for k in keys)
+                if key is not None and own != key:
+                    yield linked()
+                    fps, homes = [], []
+                key = own
+                fps.append(fp[a:b])
+                homes.append(home[a:b])
+        if fps:
+            yield linked()
+
+    routed = map_batches(distinct.select("fp"), route, fields("leaf bigint, a bigint, b bigint, fp bigint, home boolean"))
+    return routed.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(link, fields("src bigint, dst bigint")).distinct()
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str, how: SimHash, keep: tuple[str, ...] | None) -> DataFrame:
