@@ -21,7 +21,8 @@ class PivotIndex:
 
     k: results of a query. pivots, annuli: of the index; sample: vectors that they are chosen
     from on the driver (all are indexed). first: nearest annuli that a query searches before
-    bounds are known. block, query_block: vectors that are scored together.
+    bounds are known. block, query_block: vectors that are scored together. salt: queries of an
+    annulus that meet a run of its blocks in one task about.
     """
 
     k: int = 20
@@ -31,6 +32,7 @@ class PivotIndex:
     first: int = 1
     block: int = 1024
     query_block: int = 512
+    salt: int = 65_536
 
 
 class Space:
@@ -42,7 +44,7 @@ class Space:
     """
 
     def __init__(self, pivots: np.ndarray, cuts: np.ndarray, greatest: float, exact: bool, ranges: np.ndarray | None = None, runs: np.ndarray | None = None):
-        self.pivots, self.cuts, self.greatest, self.exact, self.ranges, self.runs = pivots, cuts, greatest, exact, ranges, runs
+        self.pivots, self.cuts, self.greatest, self.exact, self.ranges, self.runs, self.salts = pivots, cuts, greatest, exact, ranges, runs, 1
 
     @staticmethod
     def matrix(rows: list) -> np.ndarray:
@@ -98,17 +100,20 @@ def top_k(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding
     Queries are the rows where the condition on vec_id holds; candidates are all rows but those
     of the query's own id. Equal scores: the smaller id first. Rows whose vector or id is null,
     or that hold a null or non-finite component, take no part; vectors of other lengths than the
-    query's are no candidates. Rows equal in id and vector count once; an id of several vectors
-    gives each of them as a candidate and searches with each. Fewer candidates than k give all.
+    query's are no candidates. Repeated rows are candidates each on its own, and search once; an
+    id of several vectors gives each of them as a candidate and searches with each. Fewer
+    candidates than k give all.
     Scores beyond 64 bits stop at the greatest or smallest number. An empty table gives an empty
     result.
     """
-    rows = settle(whole_vectors(vectors, vec_id, embedding).distinct())
-    # Of equal vectors only the k + 1 of smallest ids can be among a query's results (one may be
-    # the query's own). The limit works within each task before rows meet.
+    rows = settle(whole_vectors(vectors, vec_id, embedding))
+    # Of equal vectors only the k + 1 least ids (one may be the query's own), and k rows of each,
+    # can be among a query's results. The limits work within each task before rows meet.
     ids = Window.partitionBy("v").orderBy("vec_id")
-    candidates = settle(rows.withColumn("n", F.row_number().over(ids)).where(F.col("n") <= index.k + 1).drop("n"))
-    asking = rows.where(queries)
+    copies = rows.groupBy("v", "vec_id", "dim").agg(F.count(F.lit(1)).alias("copies"))
+    near = copies.withColumn("n", F.row_number().over(ids)).where(F.col("n") <= index.k + 1)
+    candidates = settle(near.select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(index.k)))).alias("copy")).drop("copy"))
+    asking = rows.where(queries).distinct()
     dims = [r["dim"] for r in asking.select("dim").distinct().collect()]
     if not dims:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -158,8 +163,8 @@ def _blocks(candidates: DataFrame, space: Space, index: PivotIndex) -> DataFrame
         key, at, ids, vectors = None, [], [], []
 
         def block() -> pa.RecordBatch:
-            values = ([key[0]], pa.int64()), ([at[0]], pa.float64()), ([at[-1]], pa.float64()), ([np.array(ids, np.int64).tobytes()], pa.binary()), ([b"".join(vectors)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names=["cell", "low", "high", "ids", "vectors"])
+            values = ([key[0]], pa.int64()), ([key[1]], pa.int64()), ([at[0]], pa.float64()), ([at[-1]], pa.float64()), ([np.array(ids, np.int64).tobytes()], pa.binary()), ([b"".join(vectors)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names=["cell", "run", "low", "high", "ids", "vectors"])
 
         for batch in batches:
             for c, r, d, i, v in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -174,7 +179,7 @@ def _blocks(candidates: DataFrame, space: Space, index: PivotIndex) -> DataFrame
             yield block()
 
     placed = map_batches(candidates.select("vec_id", "v"), place, fields("cell bigint, run bigint, at double, vec_id bigint, vector binary"))
-    return settle(placed.repartition("cell", "run").sortWithinPartitions("cell", "run", "at").mapInArrow(pack, fields("cell bigint, low double, high double, ids binary, vectors binary")))
+    return settle(placed.repartition("cell", "run").sortWithinPartitions("cell", "run", "at").mapInArrow(pack, fields("cell bigint, run bigint, low double, high double, ids binary, vectors binary")))
 
 
 def _ask(asking: DataFrame, space: Space, index: PivotIndex, first: bool) -> DataFrame:
@@ -209,7 +214,11 @@ def _scored(asked: DataFrame, blocks: DataFrame, space: Space, index: PivotIndex
     """Columns query_id, query (a hash of its vector), vec_id, score: of each block the k best of a query."""
     sent = blocks.sparkSession.sparkContext.broadcast(space)
     dim = space.pivots.shape[1]
-    met = asked.join(blocks.select("cell", "low", "high", F.col("ids").alias("own"), F.col("vectors").alias("others")), "cell")
+    # A run of an annulus meets a share of the queries at a time: keys are as many as tasks need, at any size.
+    salts, runs = space.salts, F.element_at(F.array(*[F.lit(int(r)) for r in space.runs]), (F.col("cell") + 1).cast("int"))
+    sides = asked.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), runs.cast("bigint") - 1)).alias("run"), F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt"))
+    others = blocks.select("cell", "run", "low", "high", F.col("ids").alias("own"), F.col("vectors").alias("others"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    met = sides.join(others, ["cell", "run", "salt"]).select("cell", "ids", "vectors", "floors", "low", "high", "own", "others")
 
     def score(batch: pa.RecordBatch) -> list:
         s = sent.value
@@ -242,6 +251,7 @@ def _hash(v: np.ndarray) -> int:
 
 def _search(candidates: DataFrame, asking: DataFrame, index: PivotIndex) -> DataFrame:
     space = _space(candidates, index)
+    space.salts = max(1, -(-asking.count() // index.salt))
     blocks = _blocks(candidates, space, index)
     ranges = np.full((len(space.pivots) * index.annuli, 2), [np.inf, -np.inf])
     for r in blocks.groupBy("cell").agg(F.min("low"), F.max("high")).collect():  # one row for each annulus
@@ -263,9 +273,9 @@ def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_ORACLE = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+      FROM (SELECT DISTINCT vec_id, e FROM v) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
