@@ -1,4 +1,9 @@
-"""Near copies by word shingles: an exact join of sets by their prefixes, for the pipeline's near-duplicate stage."""
+"""The near-duplicate stage of the pipeline: SimHash groups of operator 9, completed to all pairs at a Jaccard similarity.
+
+Pairs at a similarity of 0.8 differ in about 10 of 64 bits, and up to 17; at that radius no branch
+of a tree over Hamming distance can be cut off, as all other fingerprints lie about 32 bits away.
+So trees find the pairs within a few bits, and an exact join of shingle sets finds the others.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import fields, map_batches
+from logloom.llm.simhash_dedup import SimHash, near_links
 from logloom.operators.graph import connected_components
 from logloom.sources.shared import settle
 
@@ -41,6 +47,14 @@ class NearCopies:
         return (self.part + self.whole) * shared >= self.part * (n + m)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits, but the highest, that are set in over half of a text's distinct shingles."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = bits.sum(axis=0, dtype=np.int64)
+    ones[63] = 0
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def shingles(text: str | None, how: NearCopies = NearCopies(), last: np.ndarray | None = None) -> np.ndarray:
     """The text's distinct shingles as sorted 63-bit hashes; those in `last` have the highest bit set.
 
@@ -67,11 +81,12 @@ def _common(texts: DataFrame, how: NearCopies) -> np.ndarray:
     return np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: NearCopies = NearCopies()) -> DataFrame:
+def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: NearCopies = NearCopies(), trees: SimHash = SimHash(shingle=5)) -> DataFrame:
     """The documents, but of each group of near copies only that of the smallest id.
 
     A group is what chains of pairs with a Jaccard similarity of part / whole or more join; no
-    pair is lost. A null text counts as empty, and texts without words are copies of each other.
+    pair is lost. Vantage-point trees (`trees`) find the pairs whose fingerprints differ in few
+    bits, the join the rest; all are confirmed by whole sets. A null text counts as empty, and texts without words are copies of each other.
     Exactly one row of each group stays, also of repeated rows and of groups without ids.
     """
     name = "copy_key"
@@ -84,12 +99,19 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     def sign(batch: pa.RecordBatch) -> list:
         sets = [shingles(t, how, last.value) for t in batch.column(2).to_pylist()]
         marks = [xxhash.xxh64_intdigest(s.tobytes(), how.seed) for s in sets]
-        return [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), [s[: how.prefix(len(s))].tobytes() for s in sets]]
+        return [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), [s[: how.prefix(len(s))].tobytes() for s in sets]]
 
-    schema = fields("id bigint, key bigint, mark bigint, n bigint, prefix binary")
+    schema = fields("id bigint, key bigint, mark bigint, n bigint, fp bigint, prefix binary")
     schema["id"].dataType = plain.schema["id"].dataType
     rows = settle(map_batches(plain, sign, schema, text=2))
-    sets = settle(rows.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    sets = settle(rows.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+
+    # Texts of one fingerprint are asked about against the first of them, and firsts along the trees' links.
+    first_of = settle(sets.groupBy("fp").agg(F.min("mark").alias("first")))
+    of = lambda at: first_of.select(F.col("fp").alias(at), F.col("first").alias(f"{at}_first"))
+    close = near_links(first_of.select("fp"), trees).join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_first").alias("a"), F.col("dst_first").alias("b"))
+    close = close.unionByName(sets.join(first_of, "fp").where("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b")))
+    near = _confirmed(close, sets, plain, last, how)
 
     def spread(batch: pa.RecordBatch) -> list:
         found = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
@@ -100,6 +122,7 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     # All against one of each shingle first, so that a large group is joined before pairs across groups are compared.
     centre = held.groupBy("h").agg(F.min("mark").alias("a"))
     links = _confirmed(held.join(centre, "h").where("mark > a").select("a", F.col("mark").alias("b")).distinct(), sets, plain, last, how)
+    links = links.unionByName(near)
     own = held.join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left").select("h", "mark", F.coalesce("component", "mark").alias("g"))
     mixed = settle(own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h"))).where("lo < hi").select("h", "mark", "g"))
     across = mixed.alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.g") != F.col("y.g")))
