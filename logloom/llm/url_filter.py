@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import mmap
+import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,11 +13,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.llm.common import LOWER, UPPER, as_row, fields, map_batches, table
+from logloom.sources.shared import settle
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -28,8 +32,8 @@ LISTED = tuple(("block", f"{name}.example.{top}", "") for name in LISTED_NAMES f
 
 @dataclass(frozen=True)
 class UrlFilter:
-    """max_rules, max_bytes: of a list that is sent to the tasks whole; a larger one is refused by
-    `judge_urls` and joined by `judge_urls_by_join`, which gives the same verdicts."""
+    """max_rules, max_bytes: of a list that is laid out as one array for every executor; a larger
+    one is joined, which gives the same rows."""
 
     max_rules: int = 5_000_000
     max_bytes: int = 256 << 20
@@ -49,8 +53,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 class DigestArray:
     """Rules as three arrays in the order of their digests: digests, ends of strings, verdicts.
 
-    `packed` is what is sent: the same bytes on every executor, mapped there from a file without
-    a name, which goes with the process that holds it.
+    `packed` is the file's content: digests, ends, sizes of hosts, verdicts, strings.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -65,17 +68,23 @@ class DigestArray:
         self.host_labels = sorted({k[:h].count(".") + 1 for k, (_, h) in keys.items()})
 
     def open(self) -> OpenArray:
-        return OpenArray(self)
+        return OpenArray(self.packed, self.n, self.path_sizes, self.host_labels)
+
+    def sent(self, spark: SparkSession) -> tuple[str, int, tuple, tuple]:
+        """Hand the array to Spark as a file, which each machine of an executor gets once; its name and measures."""
+        folder = tempfile.mkdtemp(prefix="urls-")  # the driver's own; executors fetch the file from the driver
+        name = f"urls-{uuid.uuid4().hex}.bin"
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(self.packed or b"\0")
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        return name, self.n, tuple(self.path_sizes), tuple(self.host_labels)
 
 
 class OpenArray:
-    def __init__(self, of: DigestArray):
-        n, self.path_sizes, self.host_labels = of.n, of.path_sizes, of.host_labels
-        with tempfile.TemporaryFile() as f:
-            f.write(of.packed or b"\0")
-            f.flush()
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        at = 0
+    """The array over bytes or a mapped file, whose pages all workers of a machine share."""
+
+    def __init__(self, data: bytes | mmap.mmap, n: int, path_sizes: Iterable[int], host_labels: Iterable[int]):
+        self.path_sizes, self.host_labels, at = list(path_sizes), list(host_labels), 0
 
         def part(kind: type, count: int) -> np.ndarray:
             nonlocal at
@@ -83,7 +92,7 @@ class OpenArray:
             at += made.nbytes
             return made
 
-        self.digests, self.ends, self.host_size, self.allows = part(np.uint64, n), part(np.int64, n + 1), part(np.int32, n), part(np.uint8, n)
+        self.digests, self.ends, self.host_size, self.allows = part(np.uint64, n), part(np.int64, n + 1 if n else 0), part(np.int32, n), part(np.uint8, n)
         self.strings, self.first = data, at
 
     def text(self, k: int) -> bytes:
@@ -128,27 +137,43 @@ class OpenArray:
 
 
 @lru_cache(maxsize=8)
-def _opened(packed: bytes, n: int, sizes: tuple, labels: tuple) -> OpenArray:
-    made = DigestArray(())
-    made.packed, made.n, made.path_sizes, made.host_labels = packed, n, list(sizes), list(labels)
-    return made.open()
+def _opened(name: str, n: int, sizes: tuple, labels: tuple) -> OpenArray:
+    with open(SparkFiles.get(name), "rb") as f:
+        return OpenArray(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), n, sizes, labels)
+
+
+Rules = Iterable[tuple[str, str, str]] | DataFrame
+
+
+def read_list(spark: SparkSession, path: str, verdict: str = "block") -> DataFrame:
+    """Columns verdict, host and path from a text file of one entry a line: a host, or a host and a path.
+
+    Lines are trimmed; empty ones and those that begin with # are passed over. The file may lie
+    wherever Spark reads.
+    """
+    line = F.trim("value")
+    entry = spark.read.text(path).where((line != "") & ~line.startswith("#")).select(line.alias("entry"))
+    host = F.regexp_extract("entry", "^[^/]*", 0)
+    return entry.select(F.lit(verdict).alias("verdict"), host.alias("host"), F.expr("substring(entry, length(regexp_extract(entry, '^[^/]*', 0)) + 1)").alias("path")).distinct()
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, listed: Iterable[tuple[str, str, str]] = LISTED, how: UrlFilter = UrlFilter(), keep: tuple[str, ...] | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, url: str = "url", rules: Rules = RULES, listed: Rules = LISTED, how: UrlFilter = UrlFilter(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns `row`, host, path, rule, verdict, listed.
 
     The longest rule that fits gives the verdict; where none fits, the longest listed entry does,
     and everything else is allowed. A rule fits its host and all subdomains if the path starts
-    with the rule's. Null urls and those without :// have an empty host and path and are
-    allowed. Repeated rows are judged alike; an empty table gives an empty result.
+    with the rule's. Rules and entries are tuples or frames of verdict, host and path; those
+    beyond the bounds of `how` are joined. Null urls and those without :// have an empty host and
+    path and are allowed. Repeated rows are judged alike; an empty table gives an empty result.
     """
-    arrays = [DigestArray(rules), DigestArray(listed)]
-    if any(a.n > how.max_rules or len(a.packed) > how.max_bytes for a in arrays):
-        raise ValueError("the list is too large to be sent to every task; use judge_urls_by_join")
-    sent = pages.sparkSession.sparkContext.broadcast([(a.packed, a.n, tuple(a.path_sizes), tuple(a.host_labels)) for a in arrays])
+    spark = pages.sparkSession
+    if any(_too_large(x, how) for x in (rules, listed)):
+        return judge_urls_by_join(pages, _frame(spark, rules), url, keep, _frame(spark, listed))
+    arrays = [DigestArray(x if not isinstance(x, DataFrame) else map(tuple, x.select("verdict", "host", "path").collect())) for x in (rules, listed)]
+    sent = [a.sent(spark) for a in arrays]
 
     def of(batch: pa.RecordBatch) -> list:
-        by_rule, by_list = (_opened(*a) for a in sent.value)
+        by_rule, by_list = (_opened(*a) for a in sent)
         parts = [split_url(u) for u in batch.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
         for (host, path), r, e in zip(parts, by_rule.longest(parts), by_list.longest(parts), strict=True):
@@ -159,26 +184,48 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, st
         return [batch.column(0), *out]
 
     rows = as_row(pages, keep, F.col(url).cast("string").alias("url"))
-    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("host string, path string, rule string, verdict string, listed string").fields]))
+    return map_batches(rows, of, T.StructType([rows.schema["row"], *fields("host string, path string, rule string, verdict string, listed string").fields]), text=1)
+
+
+def _frame(spark: SparkSession, rules: Rules) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+
+
+def _too_large(rules: Rules, how: UrlFilter) -> bool:
+    if not isinstance(rules, DataFrame):
+        rules = list(rules)
+        return len(rules) > how.max_rules or sum(len(h) + len(p) + 21 for _, h, p in rules) > how.max_bytes
+    n, size = rules.agg(F.count(F.lit(1)), F.sum(F.octet_length("host") + F.octet_length("path") + 21)).first()
+    return n > how.max_rules or (size or 0) > how.max_bytes
 
 
-def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Columns `row`, host, path, rule, verdict (null where no rule fits), for lists of any size.
+def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """The rows of judge_urls, for lists of any size.
 
-    rules has verdict, host and path. Each url meets, by an equi-join on the rule's text, the
-    suffixes of its host times the beginnings of its path of the lengths that rules have.
+    Each url meets, by an equi-join on the rule's text, the suffixes of its host times the
+    beginnings of its path of the lengths that rules have. Only texts that are both asked for and
+    listed meet the urls; a suffix that most urls share is one row until then.
     """
-    keyed = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict"))
-    sizes = [r[0] for r in keyed.select(F.length("rule_path")).distinct().collect()]  # a few numbers, however long the list
     rest = F.regexp_extract(F.col(url), r"(?s)^.*?://(.*)$", 1)
     host, path = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    rows = as_row(pages, keep, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("id", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
-    starts = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sizes] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    asked = rows.select("id", F.explode(ends).alias("rule_host"), starts.alias("starts")).select("id", "rule_host", F.explode("starts").alias("rule_path"))
-    fit = asked.join(keyed, ["rule_host", "rule_path"]).groupBy("id").agg(F.max(F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
-    return rows.join(fit, "id", "left").select("row", "host", "path", "best.rule", "best.verdict")
+    rows = as_row(pages, keep, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    places = settle(rows.select("host", "path").distinct())
+
+    def best(of: DataFrame, name: str) -> DataFrame:
+        keyed = of.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropDuplicates(["rule_host", "rule_path"])
+        sizes = [r[0] for r in keyed.select(F.length("rule_path")).distinct().collect()]  # a few numbers, however long the list
+        labels = F.split("host", r"\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
+        starts = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sizes] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
+        asked = places.select("host", "path", F.explode(ends).alias("rule_host"), starts.alias("starts")).select("host", "path", "rule_host", F.explode("starts").alias("rule_path"))
+        met = settle(asked.select("rule_host", "rule_path").distinct().join(keyed, ["rule_host", "rule_path"]))
+        rule = F.concat("rule_host", "rule_path")
+        longest = F.max(F.struct(F.octet_length(rule), F.length("rule_host"), rule.alias("rule"), "verdict"))
+        return asked.join(met, ["rule_host", "rule_path"]).groupBy("host", "path").agg(longest.alias(name))
+
+    found = rows.join(best(rules, "by_rule"), ["host", "path"], "left")
+    found = found.join(best(listed, "by_list"), ["host", "path"], "left") if listed is not None else found.withColumn("by_list", F.lit(None).cast("struct<rule: string, verdict: string>"))
+    return found.select("row", "host", "path", "by_rule.rule", F.coalesce("by_rule.verdict", "by_list.verdict", F.lit("allow")).alias("verdict"), F.col("by_list.rule").alias("listed"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
