@@ -21,11 +21,29 @@ TEMPLATES = {
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0/line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0/notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1/notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0/line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0/line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause/line": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause/line": "Released under the BSD 3-Clause License.",
     "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0/short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0/short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0/short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-4.0/long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0/line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0/line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC0-1.0/line": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "CC-BY-4.0/line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense/notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "ISC/notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause/notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause/notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
 }
 
 #: Letters, digits and bytes beyond ASCII make words, in lower case; all else parts them.
@@ -39,10 +57,16 @@ def words_of(text: str) -> list[bytes]:
 @dataclass(frozen=True)
 class LicenseScan:
     """coverage: least share of a template's words that an alignment must match. slack: words
-    of text that an occurrence may span, in parts of the template's."""
+    of text that an occurrence may span, in parts of the template's. short: a template of fewer
+    words is matched whole and without words in between, as one word tells such lines apart."""
 
     coverage: float = 0.8
     slack: float = 1.3
+    short: int = 20
+
+    def bounds(self, n: int) -> tuple[float, int]:
+        """Least coverage, and words of text that an occurrence may span, of a template of n words."""
+        return (1.0, n) if n < self.short else (self.coverage, int(n * self.slack) + 1)
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -98,6 +122,19 @@ def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _apart(found: list[tuple[str, int, int, int, float]], sizes: dict[str, int]) -> list[tuple[str, int, int, int, float]]:
+    """Of occurrences that overlap, the one whose template explains the words best, by place.
+
+    Matched words count for it; words of the text in between and of the template left out count
+    against it.
+    """
+    taken: list[tuple[str, int, int, int, float]] = []
+    for f in sorted(found, key=lambda f: (f[2] - f[1] + sizes[f[0]] - 3 * f[3], f[1], f[0])):
+        if all(f[2] <= t[1] or t[2] <= f[1] for t in taken):
+            taken.append(f)
+    return sorted(taken, key=lambda f: (f[1], f[0]))
+
+
 class Templates:
     def __init__(self, templates: dict[str, str], how: LicenseScan):
         self.how = how
@@ -105,7 +142,7 @@ class Templates:
         self.kinds = {name: frozenset(w) for name, w in self.words.items()}
         self.vocabulary = frozenset().union(*self.kinds.values()) if self.kinds else frozenset()
         # An alignment that misses m words of a template still holds all its kinds but m.
-        self.least = {name: max(1, len(self.kinds[name]) - int(len(w) * (1 - how.coverage) + 1e-9)) for name, w in self.words.items()}
+        self.least = {name: max(1, len(self.kinds[name]) - int(len(w) * (1 - how.bounds(len(w))[0]) + 1e-9)) for name, w in self.words.items()}
 
     def find(self, words: list[bytes]) -> list[tuple[str, int, int, int, float]]:
         """(template, first word, end, matched words, coverage) of every occurrence."""
@@ -116,10 +153,10 @@ class Templates:
         for name, template in self.words.items():
             if len(known & self.kinds[name]) >= self.least[name]:
                 found += self._occurrences(name, template, words)
-        return sorted(found, key=lambda f: (f[1], f[0]))
+        return _apart(found, {n: len(w) for n, w in self.words.items()})
 
     def _occurrences(self, name: str, template: list[bytes], words: list[bytes]) -> list[tuple[str, int, int, int, float]]:
-        kinds, span = self.kinds[name], int(len(template) * self.how.slack) + 1
+        kinds, (coverage, span) = self.kinds[name], self.how.bounds(len(template))
         hits = [k for k, w in enumerate(words) if w in kinds]
         count: Counter = Counter()
         out, end, done = [], 0, -1
@@ -132,7 +169,7 @@ class Templates:
                 if pairs and pairs[0][0]:  # the occurrence may reach beyond a window that began before it
                     at += pairs[0][0]
                     pairs = patience(words[at : at + span], template)
-                if len(pairs) >= self.how.coverage * len(template) - 1e-9:
+                if len(pairs) >= coverage * len(template) - 1e-9:
                     done = at + pairs[-1][0]
                     out.append((name, at + pairs[0][0], done + 1, len(pairs), len(pairs) / len(template)))
             gone = words[hits[i]]
@@ -145,7 +182,8 @@ class Templates:
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, how: LicenseScan = LicenseScan(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns `row`, n_words, license, coverage, matched, spans.
 
-    spans lists every occurrence as template:first:end:matched in words, by place. license,
+    spans lists every occurrence as template:first:end:matched in words, by place; of those that
+    overlap, the one whose template explains the words best. license,
     coverage and matched are those of the occurrence of most matched words (equal ones: the
     earlier); without any, license is null, coverage 0 and matched 0. A window of text starts at
     each word of a template that its words can follow closely enough, so an occurrence is found
