@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.shared import settle
+
 COUNTERS = ("cache_read", "uncached", "cache_write", "cache_write_1h", "output")
 #: Local hours of peak prices, from and before, on working days.
 PEAK = ((9, 12), (14, 18))
@@ -58,17 +60,42 @@ def cost_buckets(bills: DataFrame) -> DataFrame:
     return bills.groupBy("provider", "model", in_peak(F.col("t_ms")).alias("peak")).agg(F.count(F.lit(1)).alias("requests"), *[F.sum(c).alias(c) for c in COUNTERS])
 
 
+def peak_schedules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Columns rule, zone, working_only, windows (minutes of the day, from and before) and off, the share of the price outside of them."""
+    return spark.createDataFrame(rows, "rule string, zone string, working_only boolean, windows array<struct<from:int,before:int>>, off double")
+
+
+def scheduled_peak(t_ms: Column, zone: Column, working_only: Column, windows: Column) -> Column:
+    """Whether a time lies in a window of its schedule, by the clock of the schedule's zone."""
+    at = F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_millis(t_ms), F.current_timezone()), zone)
+    minute, working = F.hour(at) * 60 + F.minute(at), F.dayofweek(at).between(2, 6)
+    return (~working_only | working) & F.exists(windows, lambda w: (minute >= w["from"]) & (minute < w["before"]))
+
+
+def priced_routes(bills: DataFrame, rules: DataFrame, schedules: DataFrame) -> DataFrame:
+    """The price and the schedule of each route of the bills; routes are few, so that bills are joined once."""
+    routes = matched_rules(bills.select("provider", "model").distinct(), rules)
+    own = schedules.select(F.col("rule").alias("of"), F.struct("zone", "working_only", "windows", "off").alias("schedule"))
+    return settle(routes.join(own, F.col("price.rule") == F.col("of"), "left").select("provider", "model", "price", "schedule"))
+
+
 def nano_dollars() -> Column:
     """A request's cost in whole thousand-millionths of a dollar, so that sums do not depend on their order."""
     p = lambda k: F.col(f"price.{k}")
     long_write = F.least("cache_write_1h", "cache_write")
     cost = F.col("cache_read") * p("hit") + F.col("uncached") * p("miss") + (F.col("cache_write") - long_write) * p("write") + long_write * p("write_1h") + F.col("output") * p("out")
-    return F.round(cost * 1000).cast("bigint")
+    peak = scheduled_peak(F.col("t_ms"), F.col("schedule.zone"), F.col("schedule.working_only"), F.col("schedule.windows"))
+    return F.round(cost * 1000 * F.when(F.col("schedule").isNull() | peak, 1.0).otherwise(F.col("schedule.off"))).cast("bigint")
 
 
-def session_costs(bills: DataFrame, rules: DataFrame) -> DataFrame:
-    """Dollars and yuan of each session; null if none of its requests has a price. And dollars a request."""
-    usd = matched_rules(bills, rules).groupBy("session").agg((F.sum(nano_dollars()) / 1e9).alias("usd"), F.count(F.lit(1)).alias("requests"))
+def session_costs(bills: DataFrame, rules: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Dollars and yuan of each session; null if none of its requests has a price. And dollars a request.
+
+    Outside the windows of its rule's schedule a request costs the share `off`; a rule without a
+    schedule has one price.
+    """
+    priced = bills.join(priced_routes(bills, rules, schedules), ["provider", "model"], "left")
+    usd = priced.groupBy("session").agg((F.sum(nano_dollars()) / 1e9).alias("usd"), F.count(F.lit(1)).alias("requests"))
     return usd.select("session", "usd", (F.col("usd") / CNY).alias("cny"), (F.col("usd") / F.col("requests")).alias("usd_each"))
 
 

@@ -5,41 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.calls import argument_key
+
+#: Codes of errors that a user has caused.
+USER_CODES = ("turn_aborted", "thread_rolled_back")
+
 
 def repeated_failures(log: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of failures of one tool without a success or a boundary between them.
+    """Runs of failures of one call, the same tool with the same arguments, without a success or a boundary between them.
 
-    Segments are counted by the boundaries before a record, runs by the successes of the same
-    tool before it in its segment. A run has recovered if a success ends it, and is interleaved
-    if results of other tools lie between its failures.
+    log has file, seq, boundary, is_error, tool, args and code. Segments are counted by the
+    boundaries before a record, runs by the successes of the same call before it in its segment.
+    A run has recovered if a success ends it, and is interleaved if results of other calls lie
+    between its failures. codes are its failures' codes, sorted. place orders the runs of a file:
+    those that have not recovered first, then by failures, then by their first record.
     """
+    log = log.withColumn("key", argument_key(F.col("args")))
+    call = ("file", "segment", "tool", "key")
     by_file = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    by_key = Window.partitionBy("file", "segment", "tool").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    by_key = Window.partitionBy(*call).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
         log.withColumn("segment", F.count_if("boundary").over(by_file)).withColumn("place", F.count_if(~F.col("boundary")).over(by_file)).where(~F.col("boundary"))
         .withColumn("run", F.coalesce(F.count_if(~F.col("is_error")).over(by_key), F.lit(0)))
     )
-    in_run = Window.partitionBy("file", "segment", "tool", "run", "is_error").orderBy("seq")
+    in_run = Window.partitionBy(*call, "run", "is_error").orderBy("seq")
     gap = F.col("place") - F.lag("place").over(in_run)
-    return (
-        numbered.withColumn("gap", gap).groupBy("file", "segment", "tool", "run")
+    runs = (
+        numbered.withColumn("gap", gap).groupBy(*call, "run")
         .agg(
             F.count_if("is_error").alias("failures"), F.min(F.when(F.col("is_error"), F.col("seq"))).alias("first_seq"), F.min(F.when(~F.col("is_error"), F.col("seq"))).alias("recovered_by"),
-            F.coalesce(F.max(F.when(F.col("is_error"), F.col("gap") > 1)), F.lit(False)).alias("interleaved"),
+            F.coalesce(F.max(F.when(F.col("is_error"), F.col("gap") > 1)), F.lit(False)).alias("interleaved"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_error"), F.col("code")))), ",").alias("codes"),
         )
-        .where(F.col("failures") >= least).select("file", "tool", "first_seq", "failures", "recovered_by", "interleaved")
+        .where(F.col("failures") >= least)
     )
+    order = Window.partitionBy("file").orderBy(F.col("recovered_by").isNotNull(), F.desc("failures"), "first_seq")
+    return runs.withColumn("place", F.row_number().over(order)).select("file", "place", "tool", "key", "first_seq", "failures", "recovered_by", "interleaved", "codes")
 
 
-def model_trouble(log: DataFrame) -> DataFrame:
-    """Days of a file with two retries or any error, and what failed last: a retry, else an error."""
-    retry, error = F.col("event_type") == "view", F.col("event_type") == "error"
-    day = F.floor(F.col("t_ms") / 86_400_000)
+def model_trouble(nodes: DataFrame) -> DataFrame:
+    """Steps with two retries, any error or a stop at the output limit, and what failed last: a retry, else an error.
+
+    nodes has file, turn, step, seq, kind, state and code. Of retries only the scheduled ones
+    count, and errors that a user has caused do not.
+    """
+    retry, error, limit = ((F.col("kind") == k) for k in ("model-retry", "turn-error", "turn-max-tokens"))
+    counted = nodes.where((retry & (F.col("state") == "scheduled")) | (error & ~F.coalesce(F.col("code").isin(*USER_CODES), F.lit(False))) | limit)
+    last = lambda kind: F.max_by(F.when(kind, F.coalesce("code", F.lit("error"))), F.when(kind, F.col("seq")))
     return (
-        log.groupBy("file", day.cast("bigint").alias("day")).agg(
-            F.count_if(retry).alias("retries"), F.count_if(error).alias("errors"),
-            F.coalesce(F.max_by(F.when(retry, F.col("k")), F.when(retry, F.col("seq"))), F.max_by(F.when(error, F.col("k")), F.when(error, F.col("seq")))).alias("last_code"),
-        ).where((F.col("retries") >= 2) | (F.col("errors") > 0))
+        counted.groupBy("file", "turn", "step")
+        .agg(F.min("seq").alias("seq"), F.count_if(retry).alias("retries"), F.count_if(error).alias("errors"), F.count_if(limit).alias("limits"), F.coalesce(last(retry), last(error)).alias("last_code"))
+        .where((F.col("retries") >= 2) | (F.col("errors") > 0) | (F.col("limits") > 0))
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.sources.shared import settle
+
 #: Forms of files by the end of their path, the first that fits.
 FORMS = (("code", r"\.(ts|js|py|rs|go|java|c|cpp)$"), ("page", r"\.(html?|php)$"), ("data", r"\.(json|csv|xml|ya?ml)$"), ("image", r"\.(png|jpe?g|gif|svg)$"), ("text", r"\.(md|txt)$"))
 
@@ -70,19 +72,22 @@ def decode_spans(spans: DataFrame) -> DataFrame:
 
 
 def agent_forest(nodes: DataFrame) -> DataFrame:
-    """Each agent with its depth, its root and the path to it, in order of the walk.
+    """Each agent with its depth, its root and the path to it.
 
     nodes has id, parent, label and weight; levels are joined one after another, for as many as
-    there are, and a cycle is not entered. Nodes whose parent does not exist are roots.
+    there are, each written down once. Nodes whose parent does not exist are roots; those of a
+    pure cycle, which no root reaches, are roots of their own as well.
     """
     ids = nodes.select(F.col("id").alias("up"))
     level = nodes.join(ids, F.col("parent") == F.col("up"), "left").where(F.col("up").isNull()).select("id", "label", "weight", F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("root"), F.array("id").alias("path"))
+    level = settle(level)
     out = level
     while not level.isEmpty():
         above = level.select(F.col("id").alias("up"), "depth", "root", "path")
-        level = nodes.join(above, F.col("parent") == F.col("up")).where(~F.array_contains("path", F.col("id"))).select("id", "label", "weight", (F.col("depth") + 1).alias("depth"), "root", F.concat("path", F.array("id")).alias("path"))
+        level = settle(nodes.join(above, F.col("parent") == F.col("up")).where(~F.array_contains("path", F.col("id"))).select("id", "label", "weight", (F.col("depth") + 1).alias("depth"), "root", F.concat("path", F.array("id")).alias("path")))
         out = out.unionByName(level)
-    return out.select("id", "label", "weight", "depth", "root", F.array_join("path", "/").alias("path"))
+    lost = nodes.join(out.select("id"), "id", "left_anti").select("id", "label", "weight", F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("root"), F.array("id").alias("path"))
+    return out.unionByName(lost).select("id", "label", "weight", "depth", "root", F.array_join("path", "/").alias("path"))
 
 
 def subtree_sizes(forest: DataFrame) -> DataFrame:

@@ -11,10 +11,14 @@ from logloom.sources.views import bill_view, document_view, message_view, page_v
 
 #: Prices of the queries: of a route, of a provider, and of a model.
 RULES = [("FRANCE/Brand#11", 0.1, 1.0, 1.25, 2.0, 5.0), ("GERMANY/*", 0.2, 2.0, 2.5, 4.0, 8.0), ("Brand#12", 0.3, 3.0, 3.75, 6.0, 12.0), ("Brand#23", 0.05, 0.5, 0.625, 1.0, 2.5)]
+#: Schedules of the queries: windows in minutes of the day by a zone of eight hours before UTC, and by UTC.
+SCHEDULES = [("GERMANY/*", "Asia/Shanghai", True, [(9 * 60, 12 * 60 + 30), (14 * 60, 18 * 60)], 0.5), ("Brand#12", "UTC", False, [(30, 23 * 60)], 0.25)]
 _B = with_views("v_bill")
 _RULES = "r(rule, hit, miss, \"write\", write_1h, \"out\") AS (VALUES " + ", ".join(str(r) for r in RULES) + ")"
 _MATCH = """matched AS (SELECT b.*, coalesce(e.rule, w.rule, m.rule) AS rule FROM v_bill b LEFT JOIN r e ON e.rule = b.provider || '/' || b.model AND b.provider <> '' LEFT JOIN r w ON w.rule = b.provider || '/*' AND b.provider <> '' LEFT JOIN r m ON m.rule = b.model)"""
 _PEAK = "(dayofweek(make_timestamp(t_ms * 1000)) BETWEEN 1 AND 5 AND (" + " OR ".join(f"hour(make_timestamp(t_ms * 1000)) >= {a} AND hour(make_timestamp(t_ms * 1000)) < {b}" for a, b in P.PEAK) + "))"
+_TIMED = """l AS (SELECT *, make_timestamp((t_ms + CASE WHEN rule = 'GERMANY/*' THEN 28800000 ELSE 0 END) * 1000) AS clock FROM matched), k AS (SELECT *, hour(clock) * 60 + minute(clock) AS m FROM l),
+timed AS (SELECT *, CASE rule WHEN 'GERMANY/*' THEN CASE WHEN dayofweek(clock) BETWEEN 1 AND 5 AND (m >= 540 AND m < 750 OR m >= 840 AND m < 1080) THEN 1.0 ELSE 0.5 END WHEN 'Brand#12' THEN CASE WHEN m >= 30 AND m < 1380 THEN 1.0 ELSE 0.25 END ELSE 1.0 END AS part FROM k)"""
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in P.COUNTERS)
 _OPS = "ops AS (SELECT page_id AS seq, path, CASE WHEN page_id % 3 = 0 THEN 'write' ELSE 'read' END AS op, {lines} AS lines FROM v_page)"
 _LINES = "length({t}) - length(replace({t}, chr(10), '')) + CASE WHEN {t} = '' OR ends_with({t}, chr(10)) THEN 0 ELSE 1 END"
@@ -49,8 +53,8 @@ QUERIES = {
     ),
     "cost_buckets": (lambda s, d: P.cost_buckets(bill_view(s, d)), _B + f" SELECT provider, model, {_PEAK} AS peak, count(*) AS requests, {_SUMS} FROM v_bill GROUP BY 1, 2, 3"),
     "cost_session": (
-        lambda s, d: P.session_costs(bill_view(s, d), _rules(s)),
-        _B + f""", {_RULES}, {_MATCH}, u AS (SELECT session, CAST(sum(CAST(round((cache_read * hit + uncached * miss + (cache_write - least(cache_write_1h, cache_write)) * "write" + least(cache_write_1h, cache_write) * r.write_1h + output * "out") * 1000) AS BIGINT)) AS BIGINT) / 1e9 AS usd, count(*) AS n FROM matched LEFT JOIN r ON r.rule = matched.rule GROUP BY 1)
+        lambda s, d: P.session_costs(bill_view(s, d), _rules(s), P.peak_schedules(s, SCHEDULES)),
+        _B + f""", {_RULES}, {_MATCH}, {_TIMED}, u AS (SELECT session, CAST(sum(CAST(round((cache_read * hit + uncached * miss + (cache_write - least(cache_write_1h, cache_write)) * "write" + least(cache_write_1h, cache_write) * r.write_1h + output * "out") * 1000 * part) AS BIGINT)) AS BIGINT) / 1e9 AS usd, count(*) AS n FROM timed LEFT JOIN r ON r.rule = timed.rule GROUP BY 1)
 SELECT session, usd, usd / CAST(0.15 AS DOUBLE) AS cny, usd / n AS usd_each FROM u""",
     ),
     "cost_family": (

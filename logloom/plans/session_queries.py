@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logloom.operators import diagnostics as D
@@ -29,6 +30,23 @@ def _untimed(spark, sf_dir):
     return log_view(spark, sf_dir).withColumn("t_ms", F.when(F.col("k") % 11 != 0, F.col("t_ms")))
 
 
+def _failing(spark, sf_dir):
+    """The log with arguments in two spellings, and codes."""
+    k = F.col("k").cast("string")
+    args = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"a":1,"b":'), (F.col("k") % 2).cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{ "b": '), (F.col("k") % 2).cast("string"), F.lit(', "a": 1 }')))
+    return log_view(spark, sf_dir).withColumns({"args": args, "code": F.concat(F.lit("e"), (F.col("k") % 4).cast("string"))})
+
+
+def _trouble(spark, sf_dir):
+    """Retries, errors and stops with their turn, which a boundary opens, and their step, which a purchase opens."""
+    by_file, by_turn = Window.partitionBy("file").orderBy("seq"), Window.partitionBy("file", "turn").orderBy("seq")
+    k, kind = F.col("k"), F.col("event_type")
+    code = F.when(kind == "view", F.concat(F.lit("r"), k.cast("string"))).when(k == 1, "turn_aborted").when(k != 2, F.concat(F.lit("e"), k.cast("string")))
+    numbered = log_view(spark, sf_dir).withColumn("turn", F.count_if("boundary").over(by_file)).withColumn("step", F.count_if(kind == "purchase").over(by_turn))
+    named = F.when(kind == "view", "model-retry").when(kind == "error", "turn-error").when((kind == "click") & (k == 3), "turn-max-tokens")
+    return numbered.select("file", "turn", "step", "seq", named.alias("kind"), F.when(k % 4 > 0, "scheduled").otherwise("started").alias("state"), code.alias("code"))
+
+
 QUERIES = {
     "session_listing": (lambda s, d: L.listing(usage_view(s, d), NOW_MS), with_views("v_usage") + f", {_LIST} SELECT * FROM s"),
     "session_keyset_page": (
@@ -99,16 +117,21 @@ r AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY file ORDER BY start, "end", seq
     "chat_turn_rail": (lambda s, d: T.turn_rail(turn_view(s, d)), with_views("v_turn") + " SELECT file, turn, arg_max(cat, seq) AS cat, left(arg_max(text, seq), 40) AS preview, count(*) - 1 AS folded FROM v_turn GROUP BY 1, 2"),
     "turn_usage": (lambda s, d: T.turn_usage(turn_view(s, d)), with_views("v_turn") + " SELECT file, turn, coalesce(arg_max(tokens, seq) FILTER (seq % 5 = 0), CAST(sum(tokens) AS BIGINT)) AS tokens FROM v_turn GROUP BY 1, 2"),
     "diag_repeated_failures": (
-        lambda s, d: D.repeated_failures(log_view(s, d)),
-        with_views("v_log") + """, a AS (SELECT *, count(*) FILTER (boundary) OVER (PARTITION BY file ORDER BY seq) AS seg, count(*) FILTER (NOT boundary) OVER (PARTITION BY file ORDER BY seq) AS idx FROM v_log),
-b AS (SELECT *, count(*) FILTER (NOT is_error) OVER (PARTITION BY file, seg, tool ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM a WHERE NOT boundary),
-e AS (SELECT *, idx - lag(idx) OVER (PARTITION BY file, seg, tool, run ORDER BY seq) AS gap FROM b WHERE is_error),
-g AS (SELECT file, seg, tool, run, count(*) AS failures, min(seq) AS first_seq, coalesce(bool_or(gap > 1), false) AS interleaved FROM e GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3)
-SELECT file, tool, first_seq, failures, (SELECT min(seq) FROM b WHERE b.file = g.file AND b.seg = g.seg AND b.tool = g.tool AND b.run = g.run AND NOT b.is_error) AS recovered_by, interleaved FROM g""",
+        lambda s, d: D.repeated_failures(_failing(s, d)),
+        with_views("v_log") + """, w AS (SELECT *, '{"a":1,"b":' || k % 2 || '}' AS key, 'e' || k % 4 AS code FROM v_log), a AS (SELECT *, count(*) FILTER (boundary) OVER (PARTITION BY file ORDER BY seq) AS seg, count(*) FILTER (NOT boundary) OVER (PARTITION BY file ORDER BY seq) AS idx FROM w),
+b AS (SELECT *, count(*) FILTER (NOT is_error) OVER (PARTITION BY file, seg, tool, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM a WHERE NOT boundary),
+e AS (SELECT *, idx - lag(idx) OVER (PARTITION BY file, seg, tool, key, run ORDER BY seq) AS gap FROM b WHERE is_error),
+g AS (SELECT file, seg, tool, key, run, count(*) AS failures, min(seq) AS first_seq, coalesce(bool_or(gap > 1), false) AS interleaved, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes FROM e GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 3),
+h AS (SELECT *, (SELECT min(seq) FROM b WHERE b.file = g.file AND b.seg = g.seg AND b.tool = g.tool AND b.key = g.key AND b.run = g.run AND NOT b.is_error) AS recovered_by FROM g)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY recovered_by IS NOT NULL, failures DESC, first_seq) AS INTEGER) AS place, tool, key, first_seq, failures, recovered_by, interleaved, codes FROM h""",
     ),
     "diag_model_trouble": (
-        lambda s, d: D.model_trouble(log_view(s, d)),
-        with_views("v_log") + " SELECT file, t_ms // 86400000 AS day, count(*) FILTER (event_type = 'view') AS retries, count(*) FILTER (event_type = 'error') AS errors, coalesce(arg_max(k, seq) FILTER (event_type = 'view'), arg_max(k, seq) FILTER (event_type = 'error')) AS last_code FROM v_log GROUP BY 1, 2 HAVING count(*) FILTER (event_type = 'view') >= 2 OR count(*) FILTER (event_type = 'error') > 0",
+        lambda s, d: D.model_trouble(_trouble(s, d)),
+        with_views("v_log") + """, a AS (SELECT *, CAST(count(*) FILTER (boundary) OVER (PARTITION BY file ORDER BY seq) AS BIGINT) AS turn FROM v_log),
+n AS (SELECT file, turn, CAST(count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY file, turn ORDER BY seq) AS BIGINT) AS step, seq, k, event_type, CASE event_type WHEN 'view' THEN 'r' || k ELSE CASE WHEN k = 1 THEN 'turn_aborted' WHEN k <> 2 THEN 'e' || k END END AS code FROM a),
+c AS (SELECT *, event_type = 'view' AS retry, event_type = 'error' AS err FROM n WHERE (event_type = 'view' AND k % 4 > 0) OR (event_type = 'error' AND coalesce(code, '') <> 'turn_aborted') OR (event_type = 'click' AND k = 3))
+SELECT file, turn, step, min(seq) AS seq, count(*) FILTER (retry) AS retries, count(*) FILTER (err) AS errors, count(*) FILTER (NOT retry AND NOT err) AS limits, coalesce(arg_max(code, seq) FILTER (retry), arg_max(coalesce(code, 'error'), seq) FILTER (err)) AS last_code
+FROM c GROUP BY 1, 2, 3 HAVING count(*) FILTER (retry) >= 2 OR count(*) FILTER (NOT retry) > 0""",
     ),
     "diag_slowest_tool": (
         lambda s, d: D.slowest_tool(span_view(s, d)),

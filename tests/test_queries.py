@@ -47,9 +47,12 @@ def test_repeated_failures_group_until_success_or_boundary(spark):
     for file, said in enumerate(kinds.split("|")):
         for c in said:
             seq += 1
-            rows.append((file, seq, c == "b", c == "e", "t"))
-    got = D.repeated_failures(spark.createDataFrame(rows, "file int, seq int, boundary boolean, is_error boolean, tool string"))
-    assert collected(got) == [(0, "t", 1, 3, 4, False), (1, "t", 5, 3, None, False)]
+            rows.append((file, seq, c == "b", c == "e", "t", '{"x": 1, "a": 2}' if seq % 2 else '{"a":2,"x":1}', f"c{seq % 2}"))
+    got = D.repeated_failures(spark.createDataFrame(rows, "file int, seq int, boundary boolean, is_error boolean, tool string, args string, code string"))
+    key = '{"a":2,"x":1}'
+    assert collected(got) == [(0, 1, "t", key, 1, 3, 4, False, "c0,c1"), (1, 1, "t", key, 5, 3, None, False, "c0,c1")]
+    other = spark.createDataFrame([(0, k, False, True, "t", f'{{"a": {k}}}', "c") for k in range(6)], "file int, seq int, boundary boolean, is_error boolean, tool string, args string, code string")
+    assert D.repeated_failures(other).count() == 0
 
 
 def test_calls_without_results_run_and_results_without_calls_are_orphans(spark):
@@ -101,7 +104,7 @@ def test_prices_prefer_the_narrower_rule(spark):
 
 def test_forest_enters_no_cycle(spark):
     nodes = spark.createDataFrame([("a", None, "A", 1), ("b", "a", "B", 2), ("c", "zz", "C", 3), ("x", "y", "X", 4), ("y", "x", "Y", 5)], "id string, parent string, label string, weight bigint")
-    assert collected(X.agent_forest(nodes).select("id", "depth", "root", "path")) == [("a", 0, "a", "a"), ("b", 1, "a", "a/b"), ("c", 0, "c", "c")]
+    assert collected(X.agent_forest(nodes).select("id", "depth", "root", "path")) == [("a", 0, "a", "a"), ("b", 1, "a", "a/b"), ("c", 0, "c", "c"), ("x", 0, "x", "x"), ("y", 0, "y", "y")]
 
 
 def test_components_of_a_long_path_and_of_nothing(spark):
