@@ -28,7 +28,8 @@ class NearCopies:
     shingle: words. part, whole: near copies share at least part / whole of the shingles that
     either has. sample, common: a shingle in `common` of about `sample` distinct texts is put
     last in every set; this orders the search and has no effect on what is found. seed: of the
-    shingles' hashes.
+    shingles' hashes. broadcast_rows: up to so many asked texts are picked where they are
+    read, by a broadcast of 16 bytes each; beyond it, texts move to an equal join.
     """
 
     shingle: int = 5
@@ -37,6 +38,7 @@ class NearCopies:
     sample: int = 2000
     common: int = 3
     seed: int = 42
+    broadcast_rows: int = 2_000_000
 
     def prefix(self, n: int) -> int:
         """Least elements of a set of n of which any near copy has one."""
@@ -111,7 +113,6 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     of = lambda at: first_of.select(F.col("fp").alias(at), F.col("first").alias(f"{at}_first"))
     close = near_links(first_of.select("fp"), trees).join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_first").alias("a"), F.col("dst_first").alias("b"))
     close = close.unionByName(sets.join(first_of, "fp").where("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b")))
-    near = _confirmed(close, sets, plain, last, how)
 
     def spread(batch: pa.RecordBatch) -> list:
         found = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
@@ -121,8 +122,10 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     held = settle(held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1").select("h", "mark"))
     # All against one of each shingle first, so that a large group is joined before pairs across groups are compared.
     centre = held.groupBy("h").agg(F.min("mark").alias("a"))
-    links = _confirmed(held.join(centre, "h").where("mark > a").select("a", F.col("mark").alias("b")).distinct(), sets, plain, last, how)
-    links = links.unionByName(near)
+    stars = held.join(centre, "h").where("mark > a").select("a", F.col("mark").alias("b"))
+    # Pairs of the trees and of the stars are confirmed together, as each time may move all texts.
+    asked = stars.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    links = _confirmed(asked, sets, plain, last, how)
     own = held.join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left").select("h", "mark", F.coalesce("component", "mark").alias("g"))
     mixed = settle(own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h"))).where("lo < hi").select("h", "mark", "g"))
     across = mixed.alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.g") != F.col("y.g")))
@@ -161,7 +164,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plain: DataFrame, last, how: N
     maybe = settle(map_batches(met.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix"), may, fields("a bigint, b bigint")))
     asked = maybe.select(F.col("a").alias("mark")).union(maybe.select("b")).distinct()
     keys = settle(sets.join(asked, "mark").select("mark", F.col("f.key").alias("key")))
-    texts = plain.select("key", "text").join(keys, "key").select("mark", "text")
+    asked_keys = F.broadcast(keys) if keys.count() <= how.broadcast_rows else keys
+    texts = plain.select("key", "text").join(asked_keys, "key").select("mark", "text")
     full = settle(map_batches(texts, whole, fields("mark bigint, words binary"), text=1).dropDuplicates(["mark"]))
     pair = maybe.join(ends(full, "a", "words"), "a").join(ends(full, "b", "words"), "b").select("a", "b", "a_words", "b_words")
     return settle(map_batches(pair, are, fields("a bigint, b bigint")))
