@@ -44,6 +44,10 @@ class NearCopies:
         """Least elements of a set of n of which any near copy has one."""
         return n - -(-self.part * n // self.whole) + 1
 
+    def sizes(self, n: str, m: str):
+        """Whether sets of these sizes (columns) can be near copies."""
+        return self.whole * F.least(n, m) >= self.part * F.greatest(n, m)
+
     def near(self, shared, n, m):
         """Whether sets of n and m elements, `shared` of them in both, are near copies."""
         return (self.part + self.whole) * shared >= self.part * (n + m)
@@ -98,15 +102,19 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     plain = tagged.select(F.col(f"`{doc_id}`").alias("id"), F.col(name).alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     last = docs.sparkSession.sparkContext.broadcast(_common(plain.select("text"), how))
 
+    def ends_at(sets: list) -> np.ndarray:
+        # The prefix's last element, with the highest bit turned so that signed numbers keep the order.
+        return (np.array([s[how.prefix(len(s)) - 1] for s in sets], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
     def sign(batch: pa.RecordBatch) -> list:
         sets = [shingles(t, how, last.value) for t in batch.column(2).to_pylist()]
         marks = [xxhash.xxh64_intdigest(s.tobytes(), how.seed) for s in sets]
-        return [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), [s[: how.prefix(len(s))].tobytes() for s in sets]]
+        return [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(ends_at(sets)), [s[: how.prefix(len(s))].tobytes() for s in sets]]
 
-    schema = fields("id bigint, key bigint, mark bigint, n bigint, fp bigint, prefix binary")
+    schema = fields("id bigint, key bigint, mark bigint, n bigint, fp bigint, tail bigint, prefix binary")
     schema["id"].dataType = plain.schema["id"].dataType
     rows = settle(map_batches(plain, sign, schema, text=2))
-    sets = settle(rows.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    sets = settle(rows.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("tail").alias("tail"), F.first("prefix").alias("prefix")))
 
     # Texts of one fingerprint are asked about against the first of them, and firsts along the trees' links.
     first_of = settle(sets.groupBy("fp").agg(F.min("mark").alias("first")))
@@ -125,11 +133,18 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     stars = held.join(centre, "h").where("mark > a").select("a", F.col("mark").alias("b"))
     # Pairs of the trees and of the stars are confirmed together, as each time may move all texts.
     asked = stars.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = _confirmed(asked, sets, plain, last, how)
+    links = _confirmed(_possible(asked, sets, how), sets, plain, last, how)
     own = held.join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left").select("h", "mark", F.coalesce("component", "mark").alias("g"))
-    mixed = settle(own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h"))).where("lo < hi").select("h", "mark", "g"))
-    across = mixed.alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.g") != F.col("y.g")))
-    links = links.unionByName(_confirmed(across.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct(), sets, plain, last, how))
+    mixed = own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h"))).where("lo < hi").select("h", "mark", "g")
+    mixed = settle(mixed.join(sets.select("mark", "n", "tail"), "mark"))
+    # Pairs across groups meet at every shingle that both prefixes have, so these are counted and no prefix moves.
+    side = lambda at: mixed.select("h", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "tail")])
+    met = side("a").join(side("b"), "h").where((F.col("a_mark") < F.col("b_mark")) & (F.col("a_g") != F.col("b_g")) & how.sizes("a_n", "b_n"))
+    counted = met.groupBy(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"), "a_n", "b_n", "a_tail", "b_tail").agg(F.count(F.lit(1)).alias("shared"))
+    rest = lambda n: F.floor((how.part * F.col(n) + how.whole - 1) / how.whole) - 1
+    left = F.when(F.col("a_tail") <= F.col("b_tail"), rest("a_n")).otherwise(rest("b_n"))
+    across = settle(counted.where(how.near(F.col("shared") + left, F.col("a_n"), F.col("b_n"))).select("a", "b"))
+    links = links.unionByName(_confirmed(across, sets, plain, last, how))
     group = sets.select("mark", "f").join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left")
     first = settle(group.groupBy(F.coalesce("component", "mark").alias("g")).agg(F.min("f").alias("f")).select(F.col("f.key").alias(name)))
     stays = tagged.join(first, name, "left_semi")
@@ -137,8 +152,12 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     return stays.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
-    """Those of the pairs (a, b) that are near copies: by a bound from their prefixes, then by their whole sets."""
+def _ends(of: DataFrame, at: str, *cols: str) -> DataFrame:
+    return of.select(F.col("mark").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cols])
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, how: NearCopies) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and prefixes let them be near copies."""
 
     def may(batch: pa.RecordBatch) -> list:
         keep = np.zeros(batch.num_rows, bool)
@@ -149,6 +168,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plain: DataFrame, last, how: N
             keep[i] = how.near(len(np.intersect1d(p, q, True)) + left, n, m)
         return [batch.column(k).filter(pa.array(keep)) for k in (0, 1)]
 
+    alike = pairs.join(_ends(sets, "a", "n"), "a").join(_ends(sets, "b", "n"), "b").where(how.sizes("a_n", "b_n")).select("a", "b")
+    met = alike.join(_ends(sets, "a", "n", "prefix"), "a").join(_ends(sets, "b", "n", "prefix"), "b")
+    return settle(map_batches(met.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix"), may, fields("a bigint, b bigint")))
+
+
+def _confirmed(maybe: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
+    """Those of the pairs (a, b) that are near copies, by their whole sets."""
+
     def whole(batch: pa.RecordBatch) -> list:
         return [batch.column(0), [shingles(t, how, last.value).tobytes() for t in batch.column(1).to_pylist()]]
 
@@ -157,15 +184,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plain: DataFrame, last, how: N
         keep = pa.array([bool(how.near(len(np.intersect1d(p, q, True)), len(p), len(q))) for p, q in both], pa.bool_())
         return [batch.column(k).filter(keep) for k in (0, 1)]
 
-    ends = lambda of, at, *cols: of.select(F.col("mark").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cols])
-    size = how.whole * F.least("a_n", "b_n") >= how.part * F.greatest("a_n", "b_n")
-    alike = pairs.join(ends(sets, "a", "n"), "a").join(ends(sets, "b", "n"), "b").where(size).select("a", "b")
-    met = alike.join(ends(sets, "a", "n", "prefix"), "a").join(ends(sets, "b", "n", "prefix"), "b")
-    maybe = settle(map_batches(met.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix"), may, fields("a bigint, b bigint")))
     asked = maybe.select(F.col("a").alias("mark")).union(maybe.select("b")).distinct()
     keys = settle(sets.join(asked, "mark").select("mark", F.col("f.key").alias("key")))
     asked_keys = F.broadcast(keys) if keys.count() <= how.broadcast_rows else keys
     texts = plain.select("key", "text").join(asked_keys, "key").select("mark", "text")
     full = settle(map_batches(texts, whole, fields("mark bigint, words binary"), text=1).dropDuplicates(["mark"]))
-    pair = maybe.join(ends(full, "a", "words"), "a").join(ends(full, "b", "words"), "b").select("a", "b", "a_words", "b_words")
+    pair = maybe.join(_ends(full, "a", "words"), "a").join(_ends(full, "b", "words"), "b").select("a", "b", "a_words", "b_words")
     return settle(map_batches(pair, are, fields("a bigint, b bigint")))
