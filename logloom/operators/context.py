@@ -84,12 +84,16 @@ def replaced_at(m: DataFrame) -> DataFrame:
 
 
 def surface_at_step(m: DataFrame) -> DataFrame:
+    """As alive_at_steps, of messages that only headers replace."""
+    return alive_at_steps(replaced_at(m))
+
+
+def alive_at_steps(nodes: DataFrame) -> DataFrame:
     """At each request, how many messages of a lower place are not yet gone, and their tokens.
 
     A message adds its tokens at its place and takes them back where it goes, so a running sum
     gives what an interval join would.
     """
-    nodes = replaced_at(m)
     steps = nodes.select("file", "seq", F.lit(0).alias("order"), F.lit(1).alias("n"), "tokens", _is("assistant").alias("asks"))
     gone = nodes.where(F.col("gone").isNotNull()).select("file", F.col("gone").alias("seq"), F.lit(-1).alias("order"), F.lit(-1).alias("n"), (-F.col("tokens")).alias("tokens"), F.lit(False).alias("asks"))
     w = Window.partitionBy("file").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, -1)
