@@ -7,7 +7,6 @@ import json
 import unicodedata
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -23,9 +22,9 @@ from logloom.llm.common import as_row, fields, map_batches, table, tokenizer_pat
 _LAST = 0x1000
 _WORD_END = "</w>"
 #: Distinct words whose encodings a worker keeps; later ones are encoded each time.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Rows of the pair-compatibility table that a worker keeps.
-MEMO_PAIRS = 200_000
+MEMO_PAIRS = 100_000
 
 
 def _byte_units() -> dict[int, str]:
@@ -151,7 +150,8 @@ class WordBpeCodec:
         self.bpe = BacktrackingBpe([symbols(t) for t in single], [(symbols(a), symbols(b)) for a, b in merges])
         by_symbols = {symbols(t): i for t, i in vocab.items()}
         self.ids = [by_symbols[t] for t in self.bpe.text]
-        self.memo: dict[str, tuple[list[int], str]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(max(chain(vocab.values(), self.special.values()), default=-1) + 1)]
         # Decoding: the texts of all ids behind one another, each with the blank that parts
         # tokens, and where each begins.
         texts = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -159,10 +159,9 @@ class WordBpeCodec:
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
-    def _word(self, word: str) -> tuple[list[int], str]:
+    def _word(self, word: str) -> tuple[int, ...]:
         units = word.encode("utf-8", "replace").decode("latin-1").translate(self.units)
-        ids = [self.ids[t] for t in self.bpe.encode(units[:-1] + chr(ord(units[-1]) + _LAST))]
-        made = ids, " ".join(map(str, ids))
+        made = tuple(self.ids[t] for t in self.bpe.encode(units[:-1] + chr(ord(units[-1]) + _LAST)))
         if len(self.memo) < MEMO_WORDS and len(word) <= 64:
             self.memo[word] = made
         return made
@@ -176,17 +175,13 @@ class WordBpeCodec:
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids of the text, and the same in decimal with blanks between."""
         ids: list[int] = []
-        said: list[str] = []
         memo = self.memo
         for piece in self.special_at.split(text) if "<|" in text else (text,):
             if piece in self.special:
                 ids.append(self.special[piece])
-                said.append(str(self.special[piece]))
                 continue
-            got = [memo.get(word) or self._word(word) for word in self.words.findall(self.normal(piece))]
-            ids += chain.from_iterable(map(itemgetter(0), got))
-            said += map(itemgetter(1), got)
-        return ids, " ".join(said)
+            ids += chain.from_iterable([memo.get(word) or self._word(word) for word in self.words.findall(self.normal(piece))])
+        return ids, " ".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         """The texts of the ids with blanks between, as UTF-8, by gathering from the offset table."""
