@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from logloom.operators.surface import first_cover
 from logloom.sources.shared import settle
 
 
 def own_records(forks: DataFrame, parents: DataFrame) -> DataFrame:
     """Records of forks without the prefix that they inherit.
 
-    forks has file, parent, seq and print; parents file, seq and print. A record is inherited
-    while each one up to it is found in the parent, in the parent's order: the n-th record of a
-    print in the fork is the n-th of that print in the parent. From the first miss on all
-    records are the fork's own.
+    forks has file, parent, seq and print; parents file, seq and print, as text. A fork's record is
+    inherited if the parent has its print after all that earlier records were found at; the first such
+    place is where it is found. From the first miss on all records are the fork's own. Only the parent's
+    records of prints that the fork has are sent to it; a file is walked in one task, in order, and
+    what is held there are those places.
     """
-    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("file", "print").orderBy("seq")))
-    at = nth(parents).select(F.col("file").alias("parent"), "print", "nth", F.col("seq").alias("at"))
-    met = nth(forks).join(at, ["parent", "print", "nth"], "left")
-    before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    miss = F.col("at").isNull() | (F.col("at") < F.coalesce(F.max("at").over(before), F.lit(-1)))
-    return met.withColumn("miss", miss).withColumn("own", F.max("miss").over(so_far)).where("own").select("file", "seq", "print")
+    asked = forks.where(F.col("parent").isNotNull()).select("file", "parent", "print").distinct()
+    places = asked.join(parents.select(F.col("file").alias("parent"), "print", F.col("seq").alias("at")), ["parent", "print"]).select("file", "print", F.col("at").cast("bigint").alias("seq"), F.lit(0).alias("side"))
+    both = forks.select("file", "print", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("side")).unionByName(places)
+    rows = both.repartition("file").sortWithinPartitions("file", "side", "seq")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, last, inherits = object(), {}, None, True
+        for batch in batches:
+            own = []
+            columns = (batch.column(k).to_pylist() for k in range(4))
+            for row, (file, print_, seq, side) in enumerate(zip(*columns, strict=True)):
+                if file != now:
+                    now, found, last, inherits = file, {}, None, True
+                if side == 0:
+                    found.setdefault(print_, []).append(seq)
+                    continue
+                places = found.get(print_, ()) if inherits and print_ is not None else ()
+                k = 0 if last is None else bisect_right(places, last)
+                inherits = k < len(places)
+                if inherits:
+                    last = places[k]
+                else:
+                    own.append(row)
+            yield batch.select(["file", "seq", "print"]).take(pa.array(own, pa.int64()))
+
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.mapInArrow(walk, T.StructType([T.StructField(c, types[c]) for c in ("file", "seq", "print")]))
 
 
 def chains(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -52,16 +79,16 @@ def context_intervals(nodes: DataFrame) -> DataFrame:
     """Columns file, seq, cat, gone and reason: from where on a node is no longer in the context.
 
     nodes has file, seq, cat, compacts (replaces every node before it but `kept` ones), prunes
-    (drops tool results before it) and undoes_to (drops the nodes from that seq up to itself).
-    The first of them that reaches a node ends it; at the same record in that order.
+    (drops tool results before it) and undoes_to (drops the nodes from that seq up to itself; none
+    if that seq is not before its own). What an undo drops stays dropped when the undo is undone: for
+    that, see forest.surface_after_restores. The first of them that reaches a node ends it; at the same record in that order.
     """
     after = Window.partitionBy("file").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     nearest = lambda when: F.min(F.when(when, F.col("seq"))).over(after)
     compacted = F.when(~F.col("kept"), nearest(F.col("compacts")))
     pruned = F.when(F.col("cat") == "tool", nearest(F.col("prunes")))
-    # An undo reaches back to undoes_to; of later undos the nearest that reaches a node is looked up by its bound.
-    undos = nodes.where(F.col("undoes_to").isNotNull()).select("file", F.col("seq").alias("undo"), F.explode(F.sequence("undoes_to", F.col("seq") - 1)).alias("seq"))
-    undone = undos.groupBy("file", "seq").agg(F.min("undo").alias("undone"))
+    undos = nodes.where(F.col("undoes_to") < F.col("seq")).select("file", F.col("undoes_to").cast("bigint").alias("lo"), (F.col("seq") - 1).alias("hi"), F.col("seq").alias("by"))
+    undone = first_cover(nodes.select("file", "seq", F.col("seq").alias("at")), undos).withColumnRenamed("gone", "undone")
     out = nodes.withColumn("compacted", compacted).withColumn("pruned", pruned).join(undone, ["file", "seq"], "left")
     gone = F.least("compacted", "pruned", "undone")
     reason = F.when(gone == F.col("compacted"), "compacted").when(gone == F.col("pruned"), "pruned").when(gone == F.col("undone"), "undone")

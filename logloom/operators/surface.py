@@ -34,7 +34,7 @@ def _marked(events: DataFrame) -> DataFrame:
     return rows.select(*_KEY, system.alias("system"), "cat", "tokens", how.alias("how"), "first", "last", F.when(claimed, F.col("armed.seq")).alias("claim_seq"), F.when(claimed, F.col("armed.shadowed")).alias("shadowed"))
 
 
-def _covered(points: DataFrame, spans: DataFrame) -> DataFrame:
+def first_cover(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Columns file, seq, gone: the first `by` after seq of the spans (file, lo, hi, by) that hold the point's `at`.
 
     A span is cut into blocks of two to the power of k places, two of each k at most, and a point
@@ -66,7 +66,7 @@ def _accepted(spans: DataFrame, ends: DataFrame) -> DataFrame:
             return now
         before = mark
         at = _at(ends, now)
-        seen = at.join(_covered(at, now), _KEY, "left").select(*_KEY, "at", F.least("gone", "removed").alias("gone"))
+        seen = at.join(first_cover(at, now), _KEY, "left").select(*_KEY, "at", F.least("gone", "removed").alias("gone"))
         end = lambda name, of=seen: of.select("file", F.col("seq").alias(name), F.col("at").alias(f"{name}_at"), F.col("gone").alias(f"{name}_gone"))
         both = spans.join(end("first"), ["file", "first"], "left").join(end("last"), ["file", "last"], "left")
         there = [F.coalesce((F.col(e) < F.col("by")) & (F.col(f"{e}_gone").isNull() | (F.col(f"{e}_gone") >= F.col("by"))), F.lit(False)) for e in ("first", "last")]
@@ -79,14 +79,14 @@ def surface_nodes(events: DataFrame) -> DataFrame:
     nodes = settle(_marked(events))
     claims = nodes.where("how = 'claim'").select("file", F.col("seq").alias("by"), F.explode("shadowed").alias("seq")).where("seq < by").groupBy(*_KEY).agg(F.min("by").alias("claimed"))
     cuts = nodes.where("how = 'cut'").select("file", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("seq").alias("by"))
-    cut = _covered(nodes.select(*_KEY, F.col("seq").alias("at")), cuts).withColumnRenamed("gone", "cut")
+    cut = first_cover(nodes.select(*_KEY, F.col("seq").alias("at")), cuts).withColumnRenamed("gone", "cut")
     known = settle(nodes.join(claims, _KEY, "left").join(cut, _KEY, "left").withColumn("removed", F.least(F.when(~F.col("system"), F.col("claimed")), "cut")).drop("claimed", "cut", "shadowed"))
     spans = settle(known.where("how = 'span'").select("file", F.col("seq").alias("by"), "first", "last"))
     asked = spans.select("file", F.col("first").alias("seq")).unionByName(spans.select("file", F.col("last").alias("seq"))).distinct()
     ends = settle(known.where(~F.col("system")).select(*_KEY, "removed").join(asked, _KEY))
     taken = _accepted(spans, ends)
     at = settle(_at(known, taken))
-    gone = _covered(at.where(~F.col("system")).select(*_KEY, "at"), taken)
+    gone = first_cover(at.where(~F.col("system")).select(*_KEY, "at"), taken)
     return at.join(gone, _KEY, "left").select(*_KEY, "cat", "tokens", F.col("at").alias("pos"), F.least("gone", "removed").alias("gone"))
 
 

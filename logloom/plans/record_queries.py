@@ -52,10 +52,10 @@ def _fork_view(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 _FORK = """, m AS (SELECT file, seq, cat || ':' || text AS own FROM v_msg),
 fk AS (SELECT a.file, a.file - 1 AS parent, a.seq, sha256(CASE WHEN a.seq < a.file % 4 THEN coalesce(b.own, a.own) ELSE a.own END) AS print FROM m a LEFT JOIN m b ON b.file = a.file - 1 AND b.seq = a.seq),
-fn AS (SELECT *, row_number() OVER (PARTITION BY file, print ORDER BY seq) AS nth FROM fk), pn AS (SELECT file, seq, sha256(own) AS print, row_number() OVER (PARTITION BY file, sha256(own) ORDER BY seq) AS nth FROM m),
-x AS (SELECT fn.*, pn.seq AS pos FROM fn LEFT JOIN pn ON pn.file = fn.parent AND pn.print = fn.print AND pn.nth = fn.nth),
-y AS (SELECT *, pos IS NULL OR pos < coalesce(max(pos) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS miss FROM x)
-SELECT file, seq, print FROM (SELECT *, bool_or(miss) OVER (PARTITION BY file ORDER BY seq) AS own FROM y) WHERE own"""
+fi AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) AS i FROM fk), pn AS (SELECT file, seq, sha256(own) AS print FROM m),
+w AS (SELECT file, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pos FROM fi GROUP BY file
+ UNION ALL SELECT w.file, w.i + 1, min(pn.seq) FROM w JOIN fi ON fi.file = w.file AND fi.i = w.i + 1 JOIN pn ON pn.file = fi.parent AND pn.print = fi.print AND pn.seq > w.pos GROUP BY w.file, w.i)
+SELECT file, seq, print FROM fi WHERE i > (SELECT max(w.i) FROM w WHERE w.file = fi.file)"""
 
 
 def _nodes(spark, sf_dir) -> DataFrame:
