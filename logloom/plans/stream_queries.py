@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.plans.usage_queries import QUERIES as USAGE
 from logloom.sources.shared import shared_dir
-from logloom.sources.views import on_few_routes, requests_of, table
+from logloom.sources.views import message_view, on_few_routes, requests_of, table, with_views
+from logloom.streaming.ordered_fold import follow_in_order
 from logloom.streaming.usage import file_stream, follow_buckets, followed_buckets
 
 
@@ -20,4 +21,21 @@ def stream_usage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followed_buckets(spark, f"{at}/buckets")
 
 
-QUERIES = {"stream_usage_buckets": (stream_usage_buckets, USAGE["usage_buckets"][1])}
+def stream_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages dealt to files without regard to their order, then followed in order, one file a batch."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    messages = message_view(spark, sf_dir).select("file", "seq", "cat", "tokens")
+    messages.repartition(3).write.parquet(f"{at}/messages")
+    stream = file_stream(spark, f"{at}/messages", messages.schema, files_per_batch=1)
+    follow_in_order(stream, wait_ms=None).writeStream.option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/folded").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/folded").selectExpr("CAST(file AS BIGINT) AS file", "seq", "cat", "turn", "step", "tokens", "system_seq", "late")
+
+
+QUERIES = {
+    "stream_usage_buckets": (stream_usage_buckets, USAGE["usage_buckets"][1]),
+    "stream_ordered_fold": (
+        stream_ordered_fold,
+        with_views("v_turn") + """ SELECT file, seq, cat, turn, step, CAST(sum(tokens) OVER w AS BIGINT) AS tokens, max(CASE WHEN cat = 'system' THEN seq END) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS system_seq, false AS late
+FROM v_turn WINDOW w AS (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING)""",
+    ),
+}
