@@ -60,10 +60,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None, at: int = TEXT_BYTES) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None, at: int = TEXT_BYTES, loaders: tuple[Callable, ...] = ()) -> DataFrame:
     """Apply fn to every Arrow batch; it returns the output columns in the schema's order.
 
     text: number of a string column by whose bytes batches are cut into slices of about `at`.
+    loaders: cached functions whose results a task lets go of at its end, as workers live on into
+    stages that have no use for them.
     """
     arrow = _arrow_types(schema)
     names = schema.names
@@ -72,11 +74,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
         for batch in batches if text is None else (part for whole in batches for part in cut(whole, text, at)):
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow, strict=True)], names=names)
+        for loader in loaders:
+            loader.cache_clear()
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def numbers(column: pa.Array, kind: type = np.uint64) -> Iterator[np.ndarray]:
+    """The arrays that a binary column without nulls holds, one by one and not copied."""
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), kind)
+
+
 def _arrow_types(schema: T.StructType) -> list[pa.DataType | None]:
     """Arrow types of plain columns; a struct column is passed on as it came."""
     plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import fields, map_batches
+from logloom.llm.common import fields, map_batches, numbers
 from logloom.llm.simhash_dedup import SimHash, near_links
 from logloom.operators.graph import connected_components
 from logloom.sources.shared import settle
@@ -123,7 +123,7 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     close = close.unionByName(sets.join(first_of, "fp").where("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b")))
 
     def spread(batch: pa.RecordBatch) -> list:
-        found = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
+        found = list(numbers(batch.column(1), np.int64))
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found]))]
 
     held = map_batches(sets.select("mark", "prefix"), spread, fields("h bigint, mark bigint"))
@@ -161,8 +161,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, how: NearCopies) -> DataFrame:
 
     def may(batch: pa.RecordBatch) -> list:
         keep = np.zeros(batch.num_rows, bool)
-        for i, (n, m, p, q) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        for i, (n, m, p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), numbers(batch.column(4)), numbers(batch.column(5)), strict=True)):
             # Up to the end of the prefix that ends first, all that both have is known.
             left = n - len(p) if p[-1] <= q[-1] else m - len(q)
             keep[i] = how.near(len(np.intersect1d(p, q, True)) + left, n, m)
@@ -180,7 +179,7 @@ def _confirmed(maybe: DataFrame, sets: DataFrame, plain: DataFrame, last, how: N
         return [batch.column(0), [shingles(t, how, last.value).tobytes() for t in batch.column(1).to_pylist()]]
 
     def are(batch: pa.RecordBatch) -> list:
-        both = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        both = zip(numbers(batch.column(2)), numbers(batch.column(3)), strict=True)
         keep = pa.array([bool(how.near(len(np.intersect1d(p, q, True)), len(p), len(q))) for p, q in both], pa.bool_())
         return [batch.column(k).filter(keep) for k in (0, 1)]
 

@@ -136,7 +136,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", bands: Fert
 
     rows = as_row(docs, keep, F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang") if lang in docs.columns else F.lit(None).cast("string").alias("lang"))
     schema = T.StructType([rows.schema["row"], rows.schema["lang"], *fields(_SCHEMA).fields])
-    return map_batches(rows, of, schema, text=1).withColumn("band_group", F.coalesce(F.col("lang"), F.concat(F.lit("script:"), "script"))).withColumn("band_size", F.floor(F.log(bands.size_base, F.greatest("n_tokens", F.lit(1)))).cast("int")).drop("lang", "script")
+    return map_batches(rows, of, schema, text=1, loaders=(_pieces, _multi)).withColumn("band_group", F.coalesce(F.col("lang"), F.concat(F.lit("script:"), "script"))).withColumn("band_size", F.floor(F.log(bands.size_base, F.greatest("n_tokens", F.lit(1)))).cast("int")).drop("lang", "script")
 
 
 def _nearest_sizes(at: DataFrame, counts: DataFrame, least: int) -> DataFrame:
