@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.sources.shared import settle
@@ -40,6 +40,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return ends.unionByName(roots)
 
 
+def vetoed_components(edges: DataFrame, weak: DataFrame) -> DataFrame:
+    """Columns vertex, component: what edges join, and what weak edges join where no veto stands against it.
+
+    edges has src, dst and vetoes (boolean); weak has src and dst. A group that edges join, one of
+    which vetoes, takes part in no weak edge; all other groups are joined by theirs. What weak edges join has no
+    vetoing edge, so the order of edges does not matter. A vertex of an edge that leads nowhere (null or the
+    vertex itself) is a group of its own. Labels are the smallest vertex of a group.
+    """
+    ends = lambda e: e.select(F.explode(F.array("src", "dst")).alias("vertex"))
+    every = ends(edges).union(ends(weak)).where("vertex IS NOT NULL").distinct()
+    strong = connected_components(edges)
+    of = settle(every.join(strong, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component")))
+    held = edges.where("vetoes AND src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("vertex")).distinct()
+    vetoed = of.join(held, "vertex", "left_semi").select(F.col("component").alias("vetoed")).distinct()
+    free = of.join(vetoed, F.col("component") == F.col("vetoed"), "left_anti")
+    side = lambda at: free.select(F.col("vertex").alias(at), F.col("component").alias(f"{at}_group"))
+    joined = weak.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst"))
+    wider = connected_components(joined).select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
+    return of.join(wider, "component", "left").select("vertex", F.coalesce("wider", "component").alias("component"))
+
+
+def shared_object_edges(carriers: DataFrame) -> DataFrame:
+    """Weak edges src, dst between each two carriers (node, object) of one object that follow each other by node."""
+    known = carriers.where("node IS NOT NULL AND object IS NOT NULL").distinct()
+    before = F.lag("node").over(Window.partitionBy("object").orderBy("node"))
+    return known.select(before.alias("src"), F.col("node").alias("dst")).where("src IS NOT NULL")
+
+
 def _large_star(star: DataFrame) -> DataFrame:
     """Join every larger neighbour of a vertex to the smallest one of its neighbourhood."""
     both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -34,17 +34,22 @@ def _marked(events: DataFrame) -> DataFrame:
     return rows.select(*_KEY, system.alias("system"), "cat", "tokens", how.alias("how"), "first", "last", F.when(claimed, F.col("armed.seq")).alias("claim_seq"), F.when(claimed, F.col("armed.shadowed")).alias("shadowed"))
 
 
-def first_cover(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Columns file, seq, gone: the first `by` after seq of the spans (file, lo, hi, by) that hold the point's `at`.
+def covering(points: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
+    """Every point (file, seq, at) with each span (file, lo, hi) that holds its `at`, and those columns of the span.
 
     A span is cut into blocks of two to the power of k places, two of each k at most, and a point
     lies in one block of each k that its file has; so points and spans meet in an equi-join.
     """
     sized = spans.where("lo <= hi").withColumn("k", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1)))
     cut = sized.withColumn("l", F.expr("shiftright(lo + shiftleft(1L, k) - 1, k)")).withColumn("r", F.expr("shiftright(hi + 1, k)")).where("l < r")
-    blocks = cut.select("file", "k", "by", F.explode(F.expr("filter(array(if((l & 1) = 1, l, null), if((r & 1) = 1, r - 1, null)), b -> b is not null)")).alias("block"))
+    blocks = cut.select("file", "k", *columns, F.explode(F.expr("filter(array(if((l & 1) = 1, l, null), if((r & 1) = 1, r - 1, null)), b -> b is not null)")).alias("block"))
     placed = points.join(blocks.select("file", "k").distinct(), "file").select(*_KEY, "k", F.expr("shiftright(at, k)").alias("block"))
-    return placed.join(blocks, ["file", "k", "block"]).where("by > seq").groupBy(*_KEY).agg(F.min("by").alias("gone"))
+    return placed.join(blocks, ["file", "k", "block"]).select(*_KEY, *columns)
+
+
+def first_cover(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Columns file, seq, gone: the first `by` after seq of the spans (file, lo, hi, by) that hold the point's `at`."""
+    return covering(points, spans, "by").where("by > seq").groupBy(*_KEY).agg(F.min("by").alias("gone"))
 
 
 def _at(nodes: DataFrame, spans: DataFrame) -> DataFrame:
