@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("usage_queries", "session_queries", "context_queries", "cost_queries", "record_queries", "decoder_queries", "fold_queries", "forest_queries", "index_queries", "producer_queries", "stream_queries")
+MODULES = ("usage_queries", "session_queries", "context_queries", "cost_queries", "record_queries", "decoder_queries", "node_queries", "fold_queries", "forest_queries", "index_queries", "producer_queries", "stream_queries")
 
 
 def _all() -> dict[str, tuple]:
