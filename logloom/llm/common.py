@@ -42,7 +42,7 @@ def as_row(df: DataFrame, keep: tuple[str, ...] | None, *extra: Column) -> DataF
 
 
 #: Bytes of text that a task works on at once, and whose results it holds; a longer text is worked on alone.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def cut(batch: pa.RecordBatch, column: int, at: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,9 +71,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if text is None else (part for whole in batches for part in cut(whole, text, at)):
-            columns = fn(batch)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow, strict=True)], names=names)
+        for whole in batches:
+            for batch in (whole,) if text is None else cut(whole, text, at):
+                columns = fn(batch)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow, strict=True)], names=names)
+            give_back()
         for loader in loaders:
             loader.cache_clear()
         give_back()
