@@ -143,3 +143,9 @@ def nested(records: DataFrame, order: list[str]) -> DataFrame:
     while not state.where(F.col("up").isNotNull()).isEmpty():
         state = settle(_above(state, "offset").select(*_KEY, F.col("above_up").alias("up"), (F.col("offset") + F.coalesce("above_offset", F.lit(0))).alias("offset")))
     return settled.drop("offset").join(state.select(*_KEY, F.col("offset").alias("place")), _KEY)
+
+
+def family_page(walk: DataFrame, cap: int = 25) -> DataFrame:
+    """Columns file, root, id, place, more: the first `cap` records of each family in the order of nested(), at any depth, and how many follow them."""
+    top = walk.where(F.col("parent").isNull()).select("file", F.col("id").alias("root"), F.col("place").alias("at"), F.greatest(F.col("size") - cap, F.lit(0)).alias("more"))
+    return walk.select("file", "id", "root", "place").join(top, ["file", "root"]).where(F.col("place") - F.col("at") < cap).select("file", "root", "id", (F.col("place") - F.col("at")).alias("place"), "more")

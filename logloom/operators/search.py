@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.calls import rendered_call
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct trigrams of a needle that are looked up at most.
 MAX_TRIGRAMS = 64
@@ -43,9 +45,25 @@ def text_dedup(docs: DataFrame) -> DataFrame:
 
 
 def scrubbed(c: Column) -> Column:
-    """Text as it is indexed: without encoded data and control characters, of bounded length."""
-    plain = F.regexp_replace(F.regexp_replace(c, "data:[a-z]+/[a-z0-9.+-]+;base64,", ""), "[A-Za-z0-9+/=]{256,}", "")
-    return F.left(F.trim(F.regexp_replace(plain, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")), F.lit(MAX_CHARS))
+    """Text as it is indexed: the first run of encoded data, heads of data addresses and control characters give way to blanks; of bounded length.
+
+    Later runs of encoded data stay, as in the logs' own index.
+    """
+    plain = F.regexp_replace(c, "(?s)^(.*?)[A-Za-z0-9+/]{256,}={0,2}", "$1 ")
+    plain = F.regexp_replace(F.regexp_replace(plain, "(?i)data:[a-z0-9.+/-]*;base64,", " "), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    return F.left(F.regexp_replace(plain, r"^\s+|\s+$", ""), F.lit(MAX_CHARS))
+
+
+def search_documents(nodes: DataFrame) -> DataFrame:
+    """Columns file, at, n, role, text: what of a log is searched for, from nodes of any producer (sources.producers).
+
+    A prompt is human, an answer assistant, a call tool (its name and the arguments that say what it
+    does), reasoning other. Results, injected input and summaries are not indexed, nor what is
+    empty once scrubbed.
+    """
+    role = F.when(F.col("kind") == "user", "human").when(F.col("kind") == "assistant", "assistant").when(F.col("kind") == "tool-call", "tool").when(F.col("kind") == "reasoning", "other")
+    said = F.when(F.col("kind") == "tool-call", rendered_call(F.coalesce("name", F.lit("tool")), F.col("args"))).otherwise(F.col("text"))
+    return nodes.select("file", "at", "n", role.alias("role"), scrubbed(said).alias("text")).where("role IS NOT NULL AND text <> ''")
 
 
 def candidates(docs: DataFrame, query: str, cap: int = 4096) -> DataFrame:

@@ -41,6 +41,12 @@ def _edges(spark, sf_dir):
     return docs.join(first, "head").select(F.col("line").alias("src"), "dst")
 
 
+def _chains(spark, sf_dir):
+    """Chains of twenty customers, some of which hang on another."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"))
+    return c.where("src % 20 > 0").select("src", (F.col("src") - 1).alias("dst")).union(c.where("src % 100 = 50").select("src", F.floor(F.col("src") / 2)))
+
+
 QUERIES = {
     "cost_peak_window": (lambda s, d: bill_view(s, d).groupBy("provider").agg(F.count_if(P.in_peak(F.col("t_ms"))).alias("peak"), F.count(F.lit(1)).alias("requests")), _B + f" SELECT provider, count(*) FILTER ({_PEAK}) AS peak, count(*) AS requests FROM v_bill GROUP BY 1"),
     "cost_rule_match": (
@@ -95,6 +101,11 @@ SELECT file, seq, CASE WHEN gone IS NULL OR request < gone THEN request END AS r
     ),
     "agent_forest": (lambda s, d: X.agent_forest(tree_view(s, d)), with_views("v_tree") + f", {_FOREST} SELECT * FROM f"),
     "agent_nodes": (lambda s, d: X.subtree_sizes(X.agent_forest(tree_view(s, d))), with_views("v_tree") + f", {_FOREST}, u AS (SELECT unnest(string_split(path, '/')) AS id, weight FROM f) SELECT id, count(*) AS size, CAST(sum(weight) AS BIGINT) AS weight FROM u GROUP BY 1"),
+    "connected_components_chains": (
+        lambda s, d: connected_components(_chains(s, d)),
+        """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - 1 AS b FROM customer WHERE c_custkey % 20 > 0 UNION SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_custkey % 100 = 50), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS x, a AS y FROM s UNION SELECT r.x, s.b FROM r JOIN s ON s.a = r.y) SELECT x AS vertex, min(y) AS component FROM r GROUP BY 1""",
+    ),
     "connected_components": (
         lambda s, d: connected_components(_edges(s, d)),
         with_views("v_doc") + ", h AS (SELECT line, left(lower(text), 24) AS head FROM v_doc), g AS (SELECT head, min(line) AS component, count(*) AS n FROM h GROUP BY 1) SELECT line AS vertex, component FROM h JOIN g USING (head) WHERE n > 1",

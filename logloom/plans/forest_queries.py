@@ -80,6 +80,12 @@ SELECT w.file, w.r AS seq FROM w JOIN v ON v.file = w.file AND v.r = w.r WHERE v
         _R + """, c AS (SELECT file, r AS id, CASE WHEN r % 11 > 0 THEN greatest(r - r % 11, r - 1 - k % 4) END AS parent, k * 1000000 + r AS own FROM e),
 t AS (SELECT file, id, parent, id AS root, CAST(0 AS BIGINT) AS depth, [own] AS path FROM c WHERE parent IS NULL UNION ALL SELECT c.file, c.id, c.parent, t.root, t.depth + 1, list_append(t.path, c.own) FROM t JOIN c ON c.file = t.file AND c.parent = t.id)
 SELECT file, id, parent, root, depth, (SELECT count(*) FROM t b WHERE b.file = t.file AND b.path[1:len(t.path)] = t.path) AS size, row_number() OVER (PARTITION BY file ORDER BY path) - 1 AS place FROM t""",
+    ),
+    "nested_family_page": (
+        lambda s, d: G.family_page(G.nested(_calls(s, d), ["started"]), 5),
+        _R + """, c AS (SELECT file, r AS id, CASE WHEN r % 11 > 0 THEN greatest(r - r % 11, r - 1 - k % 4) END AS parent, k * 1000000 + r AS own FROM e),
+t AS (SELECT file, id, parent, id AS root, [own] AS path FROM c WHERE parent IS NULL UNION ALL SELECT c.file, c.id, c.parent, t.root, list_append(t.path, c.own) FROM t JOIN c ON c.file = t.file AND c.parent = t.id),
+o AS (SELECT file, root, id, row_number() OVER (PARTITION BY file, root ORDER BY path) - 1 AS place, greatest(count(*) OVER (PARTITION BY file, root) - 5, 0) AS more FROM t) SELECT file, root, id, place, more FROM o WHERE place < 5""",
     ),
     "agent_walk": (
         _walk,

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.plans.decoder_queries import _lines, _when
-from logloom.sources.producers import DECODERS, every_node, nodes_of, with_turns
+from logloom.operators.search import search_documents
+from logloom.sources.producers import DECODERS, every_node, nodes_of, request_usage, usage_by_producer, with_turns
 from logloom.sources.views import with_views
 
 
@@ -104,10 +105,36 @@ def _steps(spark, sf_dir) -> DataFrame:
     return turned.groupBy("producer", "kind", "turn", "step").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _every(spark, sf_dir) -> DataFrame:
+    return every_node({p: _log(spark, sf_dir, p).withColumn("file", F.concat(F.lit(p), F.col("file"))) for p in DECODERS})
+
+
+def _searched(spark, sf_dir) -> DataFrame:
+    return search_documents(_every(spark, sf_dir)).select("file", F.col("at.seq").alias("seq"), "role", "text")
+
+
+def _billed(spark, sf_dir) -> DataFrame:
+    used = request_usage(_every(spark, sf_dir)).withColumn("producer", F.split("file", "/")[0])
+    return usage_by_producer(used)
+
+
+_NAMES = "unnest(['claude', 'codex', 'pi', 'kimi', 'opencode', 'dsh', 'grok', 'devin'])"
+_TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
 QUERIES = {f"nodes_{p}": (_nodes(p), f"{_ROWS} SELECT * FROM n") for p in DECODERS} | {
     "nodes_turns_and_steps": (
         _steps,
         _ROWS + """, o AS (SELECT *, CASE kind WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'tool-call' THEN 2 ELSE 3 END AS level FROM n WHERE kind <> 'request'), t AS (SELECT *, CAST(count(*) FILTER (kind = 'user') OVER (PARTITION BY file ORDER BY seq, level) AS BIGINT) AS turn FROM o),
 s AS (SELECT *, CAST(count(*) FILTER (kind = 'assistant') OVER (PARTITION BY file, turn ORDER BY seq, level) AS BIGINT) AS step FROM t) SELECT unnest(['claude', 'codex', 'pi', 'kimi', 'opencode', 'dsh', 'grok', 'devin']) AS producer, kind, turn, step, count(*) AS nodes FROM s GROUP BY kind, turn, step""",
     ),
+    "nodes_search_documents": (
+        _searched,
+        _ROWS + f""", d AS (SELECT file, seq, CASE kind WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'assistant' ELSE 'tool' END AS role, CASE WHEN kind = 'tool-call' THEN 'read' || chr(10) || 'path: f' || seq ELSE left({_TRIM}, 16384) END AS text FROM n WHERE kind IN ('user', 'assistant', 'tool-call'))
+SELECT p.producer || file AS file, seq, role, text FROM d, (SELECT {_NAMES} AS producer) p WHERE text <> ''""",
+    ),
+    "nodes_usage": (
+        _billed,
+        _ROWS + f""", u AS (SELECT count(*) AS requests, CAST(sum(input + 7) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(output % 3) AS BIGINT) AS think, CAST(sum(total) AS BIGINT) AS total FROM n WHERE kind = 'request')
+SELECT producer, CASE WHEN producer IN ('codex', 'kimi', 'grok') THEN NULL ELSE 'm' END AS model, CASE producer WHEN 'claude' THEN 'anthropic' WHEN 'dsh' THEN 'p' END AS provider, requests, requests AS measured, CAST(0 AS BIGINT) AS turn_totals, input, output, CASE WHEN producer = 'opencode' THEN think ELSE 0 END AS reasoning, total FROM u, (SELECT {_NAMES} AS producer) p""",
+    ),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators import calls as C
 from logloom.operators import lineage as L
 from logloom.operators import registry_prices as R
-from logloom.sources.views import message_view, page_view, table, tree_view, turn_view, with_views
+from logloom.sources.views import bill_view, message_view, page_view, table, tree_view, turn_view, with_views
 
 _EV = with_views("ev")
 _MSG = with_views("v_msg")
@@ -71,15 +71,6 @@ def _nodes(spark, sf_dir) -> DataFrame:
 _NODE = """, n AS (SELECT file, CAST(seq AS BIGINT) AS seq, CASE WHEN tokens % 5 = 0 THEN 'tool' ELSE cat END AS cat, CASE WHEN tokens % 3 = 0 THEN 0 ELSE tokens END AS tokens, cat = 'system' AS kept, (file + seq) % 4 = 3 AS compacts,
  cat = 'assistant' AND tokens % 2 = 0 AS prunes, CASE WHEN file % 3 = 0 AND seq % 3 = 2 THEN seq - 2 END AS undoes_to FROM v_msg)"""
 
-#: A registry and what is sought in it, of all ways to match and to fail.
-REGISTRY = [("anthropic", "claude-a-1"), ("reseller", "claude-a-1"), ("openai", "gpt-x"), ("openai", "GPT-X"), ("openai", "team-gpt-y"), ("other", "big-gpt-y"), ("deepseek", "deepseek-r"), ("reseller", "deepseek-r"), ("lone", "solo-m"), ("one", "twin"), ("two", "twin"), ("moonshotai", "Kimi-K")]
-PAIRS = [(p, m) for p in ("anthropic", "openai", "deepseek-official", "kimi-coding", "nobody", "reseller") for m in ("claude-a-1", "claude-a-1[1m]", "CLAUDE-A-1", "gpt-x", "Gpt-x", "gpt-y", "deepseek-r", "r", "m", "twin", "kimi-k", "none")]
-
-
-def _sql_values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
-
-
 def _case(table_: dict[str, str], key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table_.items()) + " END"
 
@@ -120,6 +111,18 @@ def _family(spark, sf_dir):
     return L.family_order(t.join(up, F.col("parent") == F.col("up"), "left").select(root.alias("root"), "id", "parent", depth.alias("depth"), (F.col("weight") % 2 == 0).alias("running"), F.col("weight").alias("updated")))
 
 
+def _registry(spark, sf_dir):
+    """The routes of all bills, models written in three ways, in a registry that each nation keeps of some parts' brands."""
+    kind = F.col("cache_write") % 3
+    model = F.when(kind == 0, _text("claude-", F.col("model"))).when(kind == 1, _text(F.col("model"), "[1m]")).otherwise(F.col("model"))
+    pairs = bill_view(spark, sf_dir).select("provider", model.alias("model")).distinct()
+    n, p = table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
+    brand, way = F.col("p_brand"), F.col("p_partkey") % 4
+    name = F.when(way == 0, brand).when(way == 1, F.upper(brand)).when(way == 2, _text("team-", brand)).otherwise(_text("claude-", brand))
+    entries = n.join(p, F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.when(F.col("n_nationkey") % 5 == 0, "anthropic").otherwise(F.col("n_name")).alias("branch"), name.alias("name")).distinct()
+    return R.registry_matches(pairs, entries)
+
+
 QUERIES = {
     "call_argument_key": (lambda s, d: _call_view(s, d).select("seq", C.argument_key(F.col("args")).alias("key")), _CALLS + f" SELECT seq, {_KEY} AS key FROM v_call"),
     "call_rendered": (
@@ -133,8 +136,8 @@ UNION ALL SELECT file, seq, 'search', 'f' || k, 0, 0, true FROM v_call WHERE kin
     ),
     "call_sources": (lambda s, d: _call_view(s, d).groupBy("tool", C.mcp_server(F.col("tool")).alias("server")).agg(F.count(F.lit(1)).alias("n")), _CALLS + " SELECT tool, CASE WHEN kind = 6 THEN 'srv_' || k END AS server, count(*) AS n FROM v_call GROUP BY 1, 2"),
     "call_unpresented_results": (
-        lambda s, d: C.unanswered_results(_call_view(s, d).where("seq % 3 = 0").select((F.col("seq") % 1000).alias("call_id")), _call_view(s, d).where("seq % 2 = 1").select("file", "seq", (F.col("seq") % 1000).alias("call_id"))).select("file", "seq"),
-        _CALLS + " SELECT file, seq FROM v_call r WHERE seq % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v_call c WHERE c.seq % 3 = 0 AND c.seq % 1000 = r.seq % 1000)",
+        lambda s, d: C.unanswered_results(_call_view(s, d).where("seq % 3 = 0").select(F.col("seq").alias("call_id")), _call_view(s, d).where("seq % 2 = 1").select("file", "seq", (F.col("seq") - 1).alias("call_id"))).select("file", "seq"),
+        _CALLS + " SELECT file, seq FROM v_call r WHERE seq % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v_call c WHERE c.seq % 3 = 0 AND c.seq = r.seq - 1)",
     ),
     "call_children": (
         _children,
@@ -217,8 +220,9 @@ o AS (SELECT a.root, a.id, CASE a.depth WHEN 0 THEN [0, 0] WHEN 1 THEN [a.own, 0
 SELECT root, place, id, more FROM (SELECT root, id, CAST(row_number() OVER (PARTITION BY root ORDER BY path) AS INTEGER) AS place, greatest(count(*) OVER (PARTITION BY root) - 25, 0) AS more FROM o) WHERE place <= 25""",
     ),
     "cost_registry_match": (
-        lambda s, d: R.registry_matches(s.createDataFrame(PAIRS, "provider string, model string"), s.createDataFrame(REGISTRY, "branch string, name string")),
-        f"""WITH g(branch, name) AS (VALUES {_sql_values(REGISTRY)}), p(provider, model) AS (VALUES {_sql_values(PAIRS)}),
+        _registry,
+        with_views("v_bill") + f""", g AS (SELECT DISTINCT CASE WHEN n_nationkey % 5 = 0 THEN 'anthropic' ELSE n_name END AS branch, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN 'team-' || p_brand ELSE 'claude-' || p_brand END AS name FROM nation JOIN part ON p_partkey % 25 = n_nationkey),
+p AS (SELECT DISTINCT provider, CASE WHEN cache_write % 3 = 0 THEN 'claude-' || model WHEN cache_write % 3 = 1 THEN model || '[1m]' ELSE model END AS model FROM v_bill),
 a AS (SELECT provider, model, 0 AS way, model AS sought FROM p UNION ALL SELECT provider, model, 1, regexp_replace(model, '\\[[^\\]]*\\]\\s*$', '') FROM p),
 m AS (SELECT a.*, g.* FROM a JOIN g ON lower(name) = lower(sought) OR ends_with(lower(name), '-' || lower(sought))),
 f AS (SELECT provider, model, branch, way, coalesce(max(name) FILTER (name = sought), CASE WHEN count(DISTINCT lower(name)) = 1 THEN max(name) END) AS entry FROM m GROUP BY 1, 2, 3, 4),

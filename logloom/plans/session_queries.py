@@ -58,15 +58,15 @@ QUERIES = {
         with_views("v_doc") + " SELECT 'kind' AS facet, file AS key, count(*) AS n FROM v_doc WHERE contains(lower(session), '1') GROUP BY 2 UNION ALL SELECT 'project', session, count(*) FROM v_doc WHERE contains(lower(session), '1') AND file IN ('en', 'de') GROUP BY 2",
     ),
     "session_duration": (lambda s, d: L.duration(usage_view(s, d)), with_views("v_usage") + " SELECT session, nullif(max(t_ms) - min(t_ms), 0) AS duration_ms FROM v_usage GROUP BY 1"),
-    "search_retention": (lambda s, d: L.retained(usage_view(s, d).where("k > 60"), NOW_MS, 2), with_views("v_usage") + f" SELECT session, max(t_ms) AS updated_at FROM v_usage WHERE k > 60 GROUP BY 1 HAVING max(t_ms) >= {NOW_MS - 2 * 86_400_000}"),
+    "search_retention": (lambda s, d: L.retained(usage_view(s, d), NOW_MS, 2), with_views("v_usage") + f" SELECT session, max(t_ms) AS updated_at FROM v_usage GROUP BY 1 HAVING max(t_ms) >= {NOW_MS - 2 * 86_400_000}"),
     "text_dedup": (lambda s, d: S.text_dedup(document_view(s, d)), with_views("v_doc") + f" SELECT {_KEY}, min(line) AS first_line, count(*) AS occurrences, max(length(text)) AS n_chars FROM v_doc GROUP BY 1"),
     "search_extract": (
         lambda s, d: page_view(s, d).select("page_id", "path", S.scrubbed(F.col("html")).alias("text")),
-        with_views("v_page") + r" SELECT page_id, path, left(trim(regexp_replace(regexp_replace(regexp_replace(html, 'data:[a-z]+/[a-z0-9.+-]+;base64,', '', 'g'), '[A-Za-z0-9+/=]{256,}', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')), 16384) AS text FROM v_page",
+        with_views("v_page") + r" SELECT page_id, path, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[A-Za-z0-9+/]{256,}={0,2}', ' '), '(?i)data:[a-z0-9.+/-]*;base64,', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), '^\s+|\s+$', '', 'g'), 16384) AS text FROM v_page",
     ),
     "search_candidates": (
-        lambda s, d: S.candidates(document_view(s, d), NEEDLE, 30),
-        with_views("v_doc") + ", c AS (SELECT line FROM v_doc WHERE " + " AND ".join(f"contains({_FOLD}, '{t}')" for t in S.trigrams(_N)) + ") SELECT line, (SELECT count(*) FROM c) > 30 AS truncated FROM c ORDER BY line LIMIT 30",
+        lambda s, d: S.candidates(document_view(s, d), NEEDLE),
+        with_views("v_doc") + ", c AS (SELECT line FROM v_doc WHERE " + " AND ".join(f"contains({_FOLD}, '{t}')" for t in S.trigrams(_N)) + ") SELECT line, (SELECT count(*) FROM c) > 4096 AS truncated FROM c ORDER BY line LIMIT 4096",
     ),
     "search_hits": (lambda s, d: S.ranked_hits(document_view(s, d), NEEDLE), with_views("v_doc") + f", {_HITS}, {_PAGE} SELECT session, file, line, matches FROM page"),
     "search_groups": (

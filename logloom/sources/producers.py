@@ -237,3 +237,36 @@ def with_turns(nodes: DataFrame) -> DataFrame:
     # A step's request record may lie between its blocks.
     held = turned.where(F.col("kind") != "request").withColumn("opens", opens)
     return held.withColumn("step", F.count_if("opens").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def request_usage(nodes: DataFrame) -> DataFrame:
+    """Columns file, request, model, provider, t_ms, measured, input, output, cache_read, cache_write, reasoning, total, scope: one row per model request.
+
+    Nodes of one request count once, with the last usage that was stated; without an id each is one. A route that a
+    log states by itself holds for the requests after it. Where a file has usage records of its own, its
+    running counts do not count; usage of a turn as a whole (scope `turn`) counts only where no
+    request of the turn has any. A request without usage is unmeasured and its counters are null.
+    """
+    order = Window.partitionBy("file").orderBy("at", "n")
+    so_far, of_file = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("file")
+    route = F.coalesce(F.col("scope") == "route", F.lit(False))
+    stated = lambda c: F.last(F.when(route, F.col(c)), True).over(so_far)
+    counters = ("input", "output", "cache_read", "cache_write", "reasoning", "total")
+    r = nodes.where(F.col("kind").isin("request", "user"))
+    r = r.withColumns({"model": F.coalesce("model", stated("model")), "provider": F.coalesce("provider", stated("provider")), "turn": F.count_if(F.col("kind") == "user").over(so_far), "by_record": F.coalesce(F.bool_or(F.col("scope") == "record").over(of_file), F.lit(False))})
+    r = r.where((F.col("kind") == "request") & ~route & (~F.col("by_record") | F.coalesce(F.col("scope") == "record", F.lit(False))))
+    whole = F.coalesce(F.col("scope") == "turn", F.lit(False))
+    exact = F.coalesce(F.bool_or(~whole & F.col("input").isNotNull()).over(Window.partitionBy("file", "turn")), F.lit(False))
+    r = r.withColumn("exact", exact).where(~whole | ~F.col("exact")).withColumn("place", F.struct("at", "n"))
+    one = r.groupBy("file", F.coalesce("request", F.to_json(F.struct("at", "n"))).alias("request")).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c) for c in ("model", "provider")], F.min("t_ms").alias("t_ms"), F.max_by(F.struct(*counters, "scope"), F.when(F.col("input").isNotNull(), F.col("place"))).alias("u"),
+    )
+    scope = F.when(F.col("u.scope") == "turn", "turn")
+    return one.select("file", "request", "model", "provider", "t_ms", F.col("u").isNotNull().alias("measured"), *[F.col(f"u.{c}").alias(c) for c in counters], scope.alias("scope"))
+
+
+def usage_by_producer(requests: DataFrame) -> DataFrame:
+    """One row per producer, model and provider: requests, measured, turn_totals, and sums whose input holds the caches and whose total is the stated one."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    shown = F.col("input") + F.coalesce("cache_read", F.lit(0)) + F.coalesce("cache_write", F.lit(0))
+    return requests.groupBy("producer", "model", "provider").agg(F.count(F.lit(1)).alias("requests"), F.count_if("measured").alias("measured"), F.count_if(F.col("scope") == "turn").alias("turn_totals"), zero(shown).alias("input"), zero("output").alias("output"), zero("reasoning").alias("reasoning"), zero("total").alias("total"))

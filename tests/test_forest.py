@@ -124,6 +124,13 @@ def test_nested_with_many_siblings_and_a_deep_chain(spark):
     assert [tuple(x) for x in got.where("file = 2").orderBy("id").select("depth", "place", "size").collect()] == [(k, k, 51 - k) for k in range(51)]
 
 
+def test_family_pages_at_any_depth(spark):
+    parents = {0: None, 1: 0, 2: 1, 3: 2, 4: 0, 10: None, 11: 10}
+    walk = G.nested(spark.createDataFrame([(1, i, p, -i) for i, p in parents.items()], "file long, id long, parent long, since long"), ["since"])
+    got = {(x["root"], x["place"], x["id"], x["more"]) for x in G.family_page(walk, 3).collect()}
+    assert got == {(10, 0, 10, 0), (10, 1, 11, 0), (0, 0, 0, 2), (0, 1, 4, 2), (0, 2, 1, 2)}
+
+
 def test_running_sums_span_tasks(spark):
     rows = [(k % 3 if k % 7 else None, k, k * 3 % 11 if k % 5 else None) for k in range(3000)]
     got = {(x["g"], x["o"]): x["s"] for x in running_sums(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], ["o"], {"s": F.col("v")}).collect()}

@@ -7,7 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.sources.producers import COLUMNS, DECODERS, nodes_of, with_turns
+from logloom.operators.search import search_documents
+from logloom.sources.producers import COLUMNS, DECODERS, every_node, nodes_of, request_usage, with_turns
 
 
 def decoded(spark, producer, *records):
@@ -66,3 +67,20 @@ def test_steps_follow_requests_and_input(spark):
     got = with_turns(spark.createDataFrame(rows, "file string, at long, n long, kind string, request string"))
     assert [(r["at"], r["turn"], r["step"]) for r in got.orderBy("at", "n").collect()] == [(0, 1, 0), (1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 1, 2), (5, 1, 3), (6, 2, 0), (7, 2, 1)]
     assert with_turns(got.select("file", "at", "n", "kind", "request").where(F.lit(False))).count() == 0
+
+
+def test_requests_count_once_with_what_was_stated_last(spark):
+    rows = [("f", 0, "codex", {"type": "turn_context", "payload": {"model": "m1"}}), ("f", 1, "codex", {"type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 9, "output_tokens": 9}}}}), ("f", 2, "codex", {"type": "token_usage_record", "payload": {"response_id": "r", "usage": {"input_tokens": 5, "output_tokens": 2, "total_tokens": 50}}}),
+            ("g", 0, "grok", {"params": {"update": {"sessionUpdate": "user_message_chunk", "content": {"text": "q"}}}}), ("g", 1, "grok", {"params": {"update": {"sessionUpdate": "response_completed", "usage": {"input_tokens": 3, "output_tokens": 1}}}}), ("g", 2, "grok", {"params": {"update": {"sessionUpdate": "turn_completed", "usage": {"inputTokens": 30}}}}),
+            ("g", 3, "grok", {"params": {"update": {"sessionUpdate": "user_message_chunk", "content": {"text": "q"}}}}), ("g", 4, "grok", {"params": {"update": {"sessionUpdate": "turn_completed", "usage": {"inputTokens": 30, "totalTokens": 40}}}}),
+            ("h", 0, "claude", {"type": "assistant", "requestId": "a", "message": {"model": "x", "usage": {"input_tokens": 1, "output_tokens": 1}}}), ("h", 1, "claude", {"type": "assistant", "requestId": "a", "message": {"usage": {"input_tokens": 1, "output_tokens": 8}}}), ("h", 2, "claude", {"type": "assistant", "requestId": "b", "message": {}})]
+    logs = {p: spark.createDataFrame([(f, k, json.dumps(r)) for f, k, q, r in rows if q == p], "file string, at long, value string") for p in ("codex", "grok", "claude")}
+    got = request_usage(every_node(logs)).collect()
+    assert sorted((r["file"], r["model"] or "", r["measured"], r["input"], r["output"], r["total"], r["scope"] or "") for r in got if r["measured"]) == [("f", "m1", True, 5, 2, 50, ""), ("g", "", True, 3, 1, 4, ""), ("g", "", True, 30, 0, 40, "turn"), ("h", "x", True, 1, 8, 9, "")]
+    assert [(r["file"], r["request"], r["input"]) for r in got if not r["measured"]] == [("h", "b", None)]
+
+
+def test_search_documents_by_role(spark):
+    rows = [("user", "hi", None, None), ("context", "no", None, None), ("assistant", " \x00 ", None, None), ("assistant", "a" + "x" * 300 + "b data:image/png;base64,Q", None, None), ("reasoning", "hm", None, None), ("tool-call", None, "bash", '{"command": "ls", "other": 1}'), ("tool-call", None, None, None), ("tool-result", "out", None, None), ("compaction", "s", None, None)]
+    nodes = spark.createDataFrame([("f", k, 0, *r) for k, r in enumerate(rows)], "file string, at long, n long, kind string, text string, name string, args string")
+    assert [(r["role"], r["text"]) for r in search_documents(nodes).orderBy("at").collect()] == [("human", "hi"), ("assistant", "Q"), ("other", "hm"), ("tool", "bash\ncommand: ls"), ("tool", "tool")]
