@@ -25,8 +25,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGE_TYPE = 2
 UNKNOWN_TEXT = " ⁇ "
 #: Distinct words, and pairs of neighbours, whose results a worker keeps; later ones are worked out each time.
-MEMO_WORDS = 100_000
-MEMO_PAIRS = 100_000
+MEMO_WORDS = 200_000
+MEMO_PAIRS = 500_000
 
 
 def _messages(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,8 +115,7 @@ class PieceCodec:
         for t, k in self.number.items():
             self.matcher.add_word(t, k)
         self.matcher.make_automaton()
-        self.whole: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by the first piece, shifted, and the second
         self.memo: dict[str, tuple[int, ...]] = {}
         self.decimal = [str(k) for k in range(len(texts))]
         # Decoding: the bytes of all ids behind one another, and where each begins.
@@ -143,8 +142,8 @@ class PieceCodec:
         """Whether a and b stay the two pieces that they are when their joint text is merged again; a = -1: b alone."""
         text = self.text
         known = self.merge(text[b]) == [text[b]] if a < 0 else self.merge(text[a] + text[b]) == [text[a], text[b]]
-        if len(self.fits) < MEMO_PAIRS:
-            self.fits[a, b] = known
+        if a >= 0 and len(self.fits) < MEMO_PAIRS:
+            self.fits[a << 20 | b] = known
         return known
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -158,7 +157,10 @@ class PieceCodec:
         failed, out, at, piece, before = bytearray(size // 8 + 1), [], 0, longest[0], -1
         while at < size:
             end = at + length[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and (fits[pair] if (pair := (before, piece)) in fits else self.compatible(*pair)):
+            fit = fits.get(before << 20 | piece) if before >= 0 else True if end < size else None
+            if fit is None:
+                fit = self.compatible(before, piece)
+            if fit and not failed[end >> 3] >> (end & 7) & 1:
                 out.append(piece)
                 at, before = end, piece
                 if at < size:
