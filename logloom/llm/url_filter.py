@@ -51,21 +51,24 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestArray:
-    """Rules as three arrays in the order of their digests: digests, ends of strings, verdicts.
+    """Rules as three arrays in the order of their digests: digests, ends of strings, verdicts; a rule of both verdicts allows.
 
     `packed` is the file's content: digests, ends, sizes of hosts, verdicts, strings.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        keys = {host.translate(_FOLD) + path: (verdict, len(host)) for verdict, host, path in rules}
-        rows = sorted((xxhash.xxh64_intdigest(k), k.encode(), v == "allow", h) for k, (v, h) in keys.items())
+        keys: dict[tuple[str, str], bool] = {}
+        for verdict, host, path in rules:
+            key = host.translate(_FOLD), path
+            keys[key] = keys.get(key, False) or verdict == "allow"
+        rows = sorted((xxhash.xxh64_intdigest(h + p), (h + p).encode(), allow, len(h)) for (h, p), allow in keys.items())
         self.n = len(rows)
         self.packed = b"".join((
             np.array([r[0] for r in rows], np.uint64).tobytes(), np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int64).tobytes(),
             np.array([r[3] for r in rows], np.int32).tobytes(), np.array([r[2] for r in rows], np.uint8).tobytes(), b"".join(r[1] for r in rows),
         ))
-        self.path_sizes = sorted({len(k) - h for k, (_, h) in keys.items()})
-        self.host_labels = sorted({k[:h].count(".") + 1 for k, (_, h) in keys.items()})
+        self.path_sizes = sorted({len(p) for _, p in keys})
+        self.host_labels = sorted({h.count(".") + 1 for h, _ in keys})
 
     def open(self) -> OpenArray:
         return OpenArray(self.packed, self.n, self.path_sizes, self.host_labels)
@@ -204,7 +207,7 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", kee
 
     Each url meets, by an equi-join on the rule's text, the suffixes of its host times the
     beginnings of its path of the lengths that rules have. Only texts that are both asked for and
-    listed meet the urls; a suffix that most urls share is one row until then.
+    listed meet the urls; a suffix that most urls share is one row until then. A rule of both verdicts allows.
     """
     rest = F.regexp_extract(F.col(url), r"(?s)^.*?://(.*)$", 1)
     host, path = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -212,7 +215,8 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", kee
     places = settle(rows.select("host", "path").distinct())
 
     def best(of: DataFrame, name: str) -> DataFrame:
-        keyed = of.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropDuplicates(["rule_host", "rule_path"])
+        keyed = of.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
+        keyed = keyed.groupBy("rule_host", "rule_path").agg(F.when(F.bool_or(F.col("verdict") == "allow"), "allow").otherwise("block").alias("verdict"))
         sizes = [r[0] for r in keyed.select(F.length("rule_path")).distinct().collect()]  # a few numbers, however long the list
         labels = F.split("host", r"\.")
         ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))

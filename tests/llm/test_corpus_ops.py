@@ -137,7 +137,7 @@ def test_op2_exact_with_ties_copies_and_unsound_vectors(spark):
     assert sorted(map(tuple, top_k(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect())) == brute_search(rows[:3])
 
 
-def test_op2_prunes_annuli(spark, sf_dir):
+def test_op2_bounds_exclude_nothing_that_they_must_not(spark, sf_dir):
     from logloom.llm import pivot_search as V
 
     vectors = V.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
@@ -190,14 +190,14 @@ def test_op5_awkward_rows(spark):
 
 
 def test_op7_rules_against_a_plain_loop(spark):
-    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.b", ""), ("allow", "b", "/x"), ("block", "", "/never"), ("allow", "caf\u00e9.org", "/\u00e9")]
-    urls = ["http://Example.NET/en/a", "https://x.example.net/e", "ftp://net", "http://net/", "http://a.b", "http://c.a.b/x?y", "http://xa.b/x#z", "nothing", None, "http://", "http://b?/x", "http://caf\u00e9.org/\u00e9t\u00e9", "http://a.b://c/x", "://net/", "http://b/x", "http://b/y"]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.b", ""), ("allow", "b", "/x"), ("block", "", "/never"), ("allow", "caf\u00e9.org", "/\u00e9"), ("block", "both.b", "/"), ("allow", "BOTH.b", "/"), ("allow", "also.b", "/"), ("block", "also.b", "/")]
+    urls = ["http://both.b/", "http://x.also.b/y", "http://Example.NET/en/a", "https://x.example.net/e", "ftp://net", "http://net/", "http://a.b", "http://c.a.b/x?y", "http://xa.b/x#z", "nothing", None, "http://", "http://b?/x", "http://caf\u00e9.org/\u00e9t\u00e9", "http://a.b://c/x", "://net/", "http://b/x", "http://b/y"]
     want = {}
     for u in urls:
         host, path = split_url(u)
-        fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), len(h), h.lower() + p, v == "allow") for v, h, p in rules if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
         best = max(fits, default=None)
-        want[u] = (best[2], best[3]) if best else (None, "allow")
+        want[u] = (best[2], "allow" if best[3] else "block") if best else (None, "allow")
     pages = spark.createDataFrame([(u, 1) for u in urls], "url string, host int")
     got = {r["row"]["url"]: (r["rule"], r["verdict"]) for r in judge_urls(pages, rules=rules, listed=()).collect()}
     assert got == want
@@ -344,7 +344,7 @@ def test_op10_targets_sums_and_reruns(spark, sf_dir):
         targets[s] = r["target"]
     want = naive_targets(dict(sizes))
     for s in sizes:
-        assert targets[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= max(2, 0.02 * want[s])
+        assert targets[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= max(2, 0.01 * want[s])
 
 
 def test_op10_shards_take_disjoint_blocks(spark, sf_dir):
@@ -400,7 +400,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
         for r in rows:
             counts[r["source"]] += len(WORD.findall(r["text"]))
     for s, want in naive_targets(dict(sizes)).items():
-        assert abs(taken[s] - want) <= max(2, 0.02 * want)
+        assert abs(taken[s] - want) <= max(2, 0.01 * want)
     before, after = seen["bpe_codec"]
     t = reference_tokenizer()
     digest = Counter((r["doc_id"], hashlib.sha256(" ".join(map(str, t.encode(r["text"], add_special_tokens=False).ids)).encode()).hexdigest()) for r in before)
