@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.plans.usage_queries import QUERIES as USAGE
 from logloom.sources.shared import shared_dir
 from logloom.sources.views import message_view, on_few_routes, requests_of, table, with_views
+from logloom.streaming.growing import current_lines, growing_lines
 from logloom.streaming.ordered_fold import follow_in_order
 from logloom.streaming.usage import file_stream, follow_buckets, followed_buckets
 
@@ -31,7 +33,20 @@ def stream_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/folded").selectExpr("CAST(file AS BIGINT) AS file", "seq", "cat", "turn", "step", "tokens", "system_seq", "late")
 
 
+def stream_growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as JSON lines in two lots of files, each followed by a run of its own that goes on where the one before ended."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    messages = message_view(spark, sf_dir).select("file", "seq", "cat")
+    for lot in (0, 1):
+        messages.where(f"seq % 2 = {lot}").select(F.to_json(F.struct("file", "seq", "cat")).alias("value")).repartition(3).write.mode("append").text(f"{at}/lines")
+        keep = lambda rows, batch, lot=lot: rows.withColumn("batch", F.lit(2 * batch + lot)).write.mode("append").parquet(f"{at}/read")
+        growing_lines(spark, f"{at}/lines", "part-*.txt").writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    lines = current_lines(spark.read.parquet(f"{at}/read"))
+    return lines.select(F.from_json("value", "file bigint, seq bigint, cat string").alias("r")).select("r.*")
+
+
 QUERIES = {
+    "stream_growing_lines": (stream_growing_lines, with_views("v_msg") + " SELECT file, seq, cat FROM v_msg"),
     "stream_usage_buckets": (stream_usage_buckets, USAGE["usage_buckets"][1]),
     "stream_ordered_fold": (
         stream_ordered_fold,
