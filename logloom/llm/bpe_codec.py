@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import as_row, fields, map_batches, table, tokenizer_path
+from logloom.llm.common import as_row, fields, give_back, map_batches, table, tokenizer_path
 
 #: The last unit of a word is another symbol than the same unit inside one; it lies this much higher.
 _LAST = 0x1000
@@ -195,7 +195,9 @@ class WordBpeCodec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> WordBpeCodec:
-    return WordBpeCodec(path)
+    made = WordBpeCodec(path)
+    give_back()  # what the file took while it was read
+    return made
 
 
 def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = True, keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -60,6 +60,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What Spark sends a Python task at once, in bytes, where the session has not set it; Spark's own default is 64 MB, held once by the JVM and once by Python.
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, text: int | None = None, at: int = TEXT_BYTES, loaders: tuple[Callable, ...] = ()) -> DataFrame:
     """Apply fn to every Arrow batch; it returns the output columns in the schema's order.
 
@@ -67,6 +76,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
     loaders: cached functions whose results a task lets go of at its end, as workers live on into
     stages that have no use for them.
     """
+    bound_batches(df.sparkSession)
     arrow = _arrow_types(schema)
     names = schema.names
 
