@@ -2,7 +2,8 @@
 
 Near-duplicate removal joins documents that share four fifths of their 5-word shingles. Every stage takes
 (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
-documents; the last one returns the encoding of each document of the mix.
+documents; the last one returns the encoding of each document of the mix. Columns of any other name
+are carried along, an empty table gives an empty one, and texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -18,27 +19,33 @@ from logloom.sources.shared import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts have too few words. A null lang is judged by the text's script; repeated rows share a verdict."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, the one of the smallest id."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, the one of the smallest id.
+
+    Texts without words are copies of each other; a null id is never the smallest; of repeated rows one stays.
+    """
     return first_of_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text give way to a mark."""
+    """Every document stays, repeated rows too; secrets in its text give way to a mark. A null text stays null."""
     return without_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that each source reaches its target of words."""
+    """Documents are repeated, at most twice each, or left out so that each source reaches its target of words.
+
+    A null source is a source of its own; documents without words, null texts among them, are left out.
+    """
     return mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document of the mix with its token ids, and digests of them and of what they decode to."""
+    """Each document of the mix with its token ids, and digests of them and of what they decode to; a null text has none."""
     return encode_documents(docs, keep=("doc_id", "source")).select("row.doc_id", "row.source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
