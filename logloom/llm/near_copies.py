@@ -29,7 +29,8 @@ class NearCopies:
     either has. sample, common: a shingle in `common` of about `sample` distinct texts is put
     last in every set; this orders the search and has no effect on what is found. seed: of the
     shingles' hashes. broadcast_rows: up to so many asked texts are picked where they are
-    read, by a broadcast of 16 bytes each; beyond it, texts move to an equal join.
+    read, by a broadcast of 16 bytes each; beyond it, texts move to an equal join. rounds: of
+    joining groups before all pairs across groups are compared; no effect on what is found.
     """
 
     shingle: int = 5
@@ -39,6 +40,7 @@ class NearCopies:
     common: int = 3
     seed: int = 42
     broadcast_rows: int = 2_000_000
+    rounds: int = 4
 
     def prefix(self, n: int) -> int:
         """Least elements of a set of n of which any near copy has one."""
@@ -53,6 +55,10 @@ class NearCopies:
         return (self.part + self.whole) * shared >= self.part * (n + m)
 
 
+#: Bits that a shingle is cut by where prefixes meet, which makes rows smaller; what meets by chance is told apart later.
+_CUT = 20
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """The bits, but the highest, that are set in over half of a text's distinct shingles."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -108,13 +114,17 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     def sign(batch: pa.RecordBatch) -> list:
         sets = [shingles(t, how, last.value) for t in batch.column(2).to_pylist()]
-        marks = [xxhash.xxh64_intdigest(s.tobytes(), how.seed) for s in sets]
-        return [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(ends_at(sets)), [s[: how.prefix(len(s))].tobytes() for s in sets]]
+        digests = [xxhash.xxh64_intdigest(s.tobytes(), how.seed) for s in sets]
+        return [batch.column(0), batch.column(1), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(ends_at(sets)), [s[: how.prefix(len(s))].tobytes() for s in sets]]
 
-    schema = fields("id bigint, key bigint, mark bigint, n bigint, fp bigint, tail bigint, prefix binary")
+    schema = fields("id bigint, key bigint, digest bigint, n bigint, fp bigint, tail bigint, prefix binary")
     schema["id"].dataType = plain.schema["id"].dataType
-    rows = settle(map_batches(plain, sign, schema, text=2))
-    sets = settle(rows.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("tail").alias("tail"), F.first("prefix").alias("prefix")))
+    rows = settle(map_batches(plain, sign, schema, text=2).withColumn("mark", F.monotonically_increasing_id()))
+    # A set goes by the number of its first row. Prefixes stay in `rows`; they move for the pairs that are asked about alone.
+    one = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "mark")).alias("f"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("tail").alias("tail"), F.count(F.lit(1)).alias("copies"))
+    sets = settle(one.select(F.col("f.mark").alias("mark"), "digest", "f", "n", "fp", "tail", "copies"))
+    again = _small(settle(sets.where("copies > 1").select("digest", F.col("mark").alias("first"))), how)
+    prefixes = rows.select("digest", "mark", "prefix").join(again, "digest", "left").where("first IS NULL OR first = mark").select("mark", "prefix")
 
     # Texts of one fingerprint are asked about against the first of them, and firsts along the trees' links.
     first_of = settle(sets.groupBy("fp").agg(F.min("mark").alias("first")))
@@ -123,19 +133,32 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     close = close.unionByName(sets.join(first_of, "fp").where("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b")))
 
     def spread(batch: pa.RecordBatch) -> list:
-        found = list(numbers(batch.column(1), np.int64))
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found]))]
-
-    held = map_batches(sets.select("mark", "prefix"), spread, fields("h bigint, mark bigint"))
-    held = settle(held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1").select("h", "mark"))
-    # All against one of each shingle first, so that a large group is joined before pairs across groups are compared.
-    centre = held.groupBy("h").agg(F.min("mark").alias("a"))
-    stars = held.join(centre, "h").where("mark > a").select("a", F.col("mark").alias("b"))
-    # Pairs of the trees and of the stars are confirmed together, as each time may move all texts.
-    asked = stars.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = _confirmed(_possible(asked, sets, how), sets, plain, last, how)
-    own = held.join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left").select("h", "mark", F.coalesce("component", "mark").alias("g"))
-    mixed = own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h"))).where("lo < hi").select("h", "mark", "g")
+        found = [f >> np.uint64(_CUT) for f in numbers(batch.column(1))]
+        return [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found]))]
+
+    held = map_batches(prefixes, spread, fields("h bigint, mark bigint"))
+    held = settle(held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1"))
+    mixed = held.join(held.groupBy("mark").agg(F.sum("c").alias("weight")), "mark").select("h", "mark", "weight", F.col("mark").alias("g"))
+    # Groups are joined before pairs across groups are compared: in each round a set is asked about
+    # against one other: the one that stands first at most of its shingles, where sets that share much with many stand first.
+    asked, links = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), None
+    tried = None
+    for _ in range(how.rounds):
+        led = mixed.withColumn("hub", F.max(F.struct("weight", "mark", "g")).over(Window.partitionBy("h"))).where("g <> hub.g")
+        stars = led.groupBy(F.col("mark").alias("b"), F.col("hub.mark").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+        if tried is not None:
+            stars = stars.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        asked = settle(asked.unionByName(best).distinct())
+        tried = asked if tried is None else tried.unionByName(asked)
+        found = _confirmed(_possible(asked, sets, prefixes, how), sets, plain, last, how)
+        links = found if links is None else links.unionByName(found)
+        own = mixed.drop("g").join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left").select("h", "mark", "weight", F.coalesce("component", "mark").alias("g"))
+        span = own.withColumn("lo", F.min("g").over(Window.partitionBy("h"))).withColumn("hi", F.max("g").over(Window.partitionBy("h")))
+        mixed = settle(span.where("lo < hi").select("h", "mark", "weight", "g"))
+        if found.count() * 20 < asked.count():
+            break
+        asked = tried.limit(0)
     mixed = settle(mixed.join(sets.select("mark", "n", "tail"), "mark"))
     # Pairs across groups meet at every shingle that both prefixes have, so these are counted and no prefix moves.
     side = lambda at: mixed.select("h", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "tail")])
@@ -146,17 +169,31 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
     across = settle(counted.where(how.near(F.col("shared") + left, F.col("a_n"), F.col("b_n"))).select("a", "b"))
     links = links.unionByName(_confirmed(across, sets, plain, last, how))
     group = sets.select("mark", "f").join(connected_components(links, "a", "b"), F.col("mark") == F.col("vertex"), "left")
-    first = settle(group.groupBy(F.coalesce("component", "mark").alias("g")).agg(F.min("f").alias("f")).select(F.col("f.key").alias(name)))
-    stays = tagged.join(first, name, "left_semi")
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    first = group.groupBy(F.coalesce("component", "mark").alias("g")).agg(F.min("f").alias("f")).select(F.col("f.key").alias("key"))
+    first = settle(first.join(times, "key").select(F.col("key").alias(name), "times"))
+    # Only of repeated rows one has to be picked; the texts of all others need not move for it.
+    of = lambda which: tagged.join(_small(first.where(which).select(name), how), name, "left_semi")
     place = name + "_place"
-    return stays.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    picked = of("times > 1").withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(place) == 1).drop(place)
+    return of("times = 1").unionByName(picked).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _either(pairs: DataFrame) -> DataFrame:
+    """Column mark: every end of the pairs (a, b)."""
+    return pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+
+
+def _small(rows: DataFrame, how: NearCopies) -> DataFrame:
+    """A settled frame, broadcast where it is short enough, so that the texts that it is joined to do not move."""
+    return F.broadcast(rows) if rows.count() <= how.broadcast_rows else rows
 
 
 def _ends(of: DataFrame, at: str, *cols: str) -> DataFrame:
     return of.select(F.col("mark").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cols])
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, how: NearCopies) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, how: NearCopies) -> DataFrame:
     """Those of the pairs (a, b) whose sizes and prefixes let them be near copies."""
 
     def may(batch: pa.RecordBatch) -> list:
@@ -167,8 +204,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, how: NearCopies) -> DataFrame:
             keep[i] = how.near(len(np.intersect1d(p, q, True)) + left, n, m)
         return [batch.column(k).filter(pa.array(keep)) for k in (0, 1)]
 
-    alike = pairs.join(_ends(sets, "a", "n"), "a").join(_ends(sets, "b", "n"), "b").where(how.sizes("a_n", "b_n")).select("a", "b")
-    met = alike.join(_ends(sets, "a", "n", "prefix"), "a").join(_ends(sets, "b", "n", "prefix"), "b")
+    alike = settle(pairs.join(_ends(sets, "a", "n"), "a").join(_ends(sets, "b", "n"), "b").where(how.sizes("a_n", "b_n")).select("a", "b", "a_n", "b_n"))
+    of = settle(prefixes.join(_small(settle(_either(alike)), how), "mark", "left_semi"))
+    met = alike.join(_ends(of, "a", "prefix"), "a").join(_ends(of, "b", "prefix"), "b")
     return settle(map_batches(met.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix"), may, fields("a bigint, b bigint")))
 
 
@@ -183,10 +221,8 @@ def _confirmed(maybe: DataFrame, sets: DataFrame, plain: DataFrame, last, how: N
         keep = pa.array([bool(how.near(len(np.intersect1d(p, q, True)), len(p), len(q))) for p, q in both], pa.bool_())
         return [batch.column(k).filter(keep) for k in (0, 1)]
 
-    asked = maybe.select(F.col("a").alias("mark")).union(maybe.select("b")).distinct()
-    keys = settle(sets.join(asked, "mark").select("mark", F.col("f.key").alias("key")))
-    asked_keys = F.broadcast(keys) if keys.count() <= how.broadcast_rows else keys
-    texts = plain.select("key", "text").join(asked_keys, "key").select("mark", "text")
+    keys = settle(sets.join(_either(maybe), "mark").select("mark", F.col("f.key").alias("key")))
+    texts = plain.select("key", "text").join(_small(keys, how), "key").select("mark", "text")
     full = settle(map_batches(texts, whole, fields("mark bigint, words binary"), text=1).dropDuplicates(["mark"]))
     pair = maybe.join(_ends(full, "a", "words"), "a").join(_ends(full, "b", "words"), "b").select("a", "b", "a_words", "b_words")
     return settle(map_batches(pair, are, fields("a bigint, b bigint")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from logloom.llm import near_copies
 from tests.llm.rows import awkward, words
 
 
@@ -58,3 +59,25 @@ def test_near_copies_on_awkward_rows(spark):
     kept = corpus_pipeline.near_duplicates(spark, awkward(spark, rows), "").collect()
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     assert corpus_pipeline.near_duplicates(spark, awkward(spark, []), "").count() == 0
+
+
+def test_a_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    base = words(400, 3).split()
+    texts = [" ".join(base)]
+    for k in range(150):
+        w = list(base)
+        for at in r.sample(range(len(w)), 7):
+            w[at] = f"own{k}x{at}"
+        texts.append(" ".join(w))
+    asked, possible = [], near_copies._possible
+
+    def counted(pairs, *how):
+        asked.append(pairs.count())
+        return possible(pairs, *how)
+
+    monkeypatch.setattr(near_copies, "_possible", counted)
+    rows = list(enumerate(texts, 1))
+    kept = corpus_pipeline.near_duplicates(spark, awkward(spark, rows), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == near_groups(rows)[0]
+    assert sum(asked) <= 3 * len(texts)
