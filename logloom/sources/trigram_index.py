@@ -1,15 +1,20 @@
 """A trigram index over texts, kept as Parquet tables in a folder: generations of postings, tombstones, compaction.
 
-Folder: texts (text_id, key, text), postings (gram, text_id), grams (gram, n), docs (text_id,
+Folder: texts (text_id, key, text), postings (gram, high, low), grams (gram, n), docs (text_id,
 session, file, line) and gone (file), each by generation; postings and grams also by bucket of the
-gram, texts by block of the id, so that a search opens the few folders that it asks for. A generation counts
+gram, texts by block of the id, so that a search opens the few folders that it asks for. A posting
+lists the texts of a batch that hold a gram: their ids share `high`, and `low` are the other 31 bits. A generation counts
 once `commits` names it, which is written last: what a failed writer leaves is written over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +43,49 @@ def grams_of(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(text) > 2, three).otherwise(F.array().cast("array<string>")))
 
 
+#: Bytes of text whose postings a task makes at once; a longer text is worked on alone.
+_AT_ONCE = 4 << 20
+#: Bits of a character's number, and of an id that postings keep apart.
+_CHAR, _LOW = 21, 31
+
+
+def _grams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, each as one number."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique((c[:-2] << np.uint64(2 * _CHAR)) | (c[1:-1] << np.uint64(_CHAR)) | c[2:]) if len(c) > 2 else c[:0]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // _AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns gram, high, low of texts (text_id, text) with A-Z in lower case: for each gram the texts of a slice that hold it."""
+    for whole in batches:
+        for batch in _slices(whole):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            found = [_grams(t) for t in batch.column(1).to_pylist()]
+            gram = np.concatenate([np.zeros(0, np.uint64), *[found[k] for k in order]])
+            of = np.repeat(ids[order], [len(found[k]) for k in order])
+            by = np.argsort(gram, kind="stable")
+            gram, of = gram[by], of[by]
+            high = of >> _LOW
+            first = np.flatnonzero(np.append(True, (np.diff(gram) != 0) | (np.diff(high) != 0))[: len(gram)])
+            chars = np.stack([(gram[first] >> np.uint64(k * _CHAR)) & np.uint64((1 << _CHAR) - 1) for k in (2, 1, 0)], axis=1).astype(np.uint32)
+            said = chars.tobytes().decode("utf-32-le")
+            low = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array((of & ((1 << _LOW) - 1)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([said[k : k + 3] for k in range(0, len(said), 3)], pa.string()), pa.array(high[first]), low], names=["gram", "high", "low"])
+
+
+def _each(postings: DataFrame) -> DataFrame:
+    """Columns gram, text_id."""
+    return postings.select("gram", "high", F.explode("low").alias("low")).select("gram", F.expr(f"shiftleft(high, {_LOW}) | low").alias("text_id"))
+
+
 class TrigramIndex:
     """Documents (session, file, line, text) found by substrings of three characters or more.
 
@@ -58,7 +106,7 @@ class TrigramIndex:
             last = None
         return (last["base"], last["gen"]) if last else (0, -1)
 
-    _SCHEMAS = {"texts": "text_id long, key string, text string, gen int, block int", "postings": "gram string, text_id long, gen int, bucket int", "grams": "gram string, n long, gen int, bucket int", "docs": "text_id long, session string, file string, line long, gen int", "gone": "file string, gen int"}
+    _SCHEMAS = {"texts": "text_id long, key string, text string, gen int, block int", "postings": "gram string, high long, low array<int>, gen int, bucket int", "grams": "gram string, n long, gen int, bucket int", "docs": "text_id long, session string, file string, line long, gen int", "gone": "file string, gen int"}
 
     def _table(self, name: str) -> DataFrame:
         base, last = self._range()
@@ -72,12 +120,12 @@ class TrigramIndex:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("gram"), F.lit(self.layout.buckets)).cast("int").alias("bucket")
 
-    def _write_postings(self, postings: DataFrame, gen: int) -> None:
-        # Dealt by ranges down to the text, so a trigram of every text fills several tasks.
-        placed = postings.select("gram", "text_id", self._bucket())
-        self._write(placed.repartitionByRange("bucket", "gram", "text_id").sortWithinPartitions("bucket", "gram", "text_id"), "postings", gen, "bucket")
-        written = self.spark.read.schema(self._SCHEMAS["postings"]).parquet(f"{self.root}/postings/gen={gen}")
-        counts = written.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n"))
+    def _write_postings(self, texts: DataFrame, gen: int) -> None:
+        made = texts.where("text IS NOT NULL").select("text_id", folded(F.col("text")).alias("text")).mapInArrow(_postings, "gram string, high long, low array<int>")
+        # Written once, as ranges are found by reading them; dealt down to the texts, so a trigram of every text fills several tasks.
+        placed = settle(made.withColumn("bucket", self._bucket()))
+        self._write(placed.repartitionByRange("bucket", "gram", "high", F.col("low")[0]).sortWithinPartitions("bucket", "gram", "high"), "postings", gen, "bucket")
+        counts = placed.groupBy("bucket", "gram").agg(F.sum(F.size("low")).alias("n"))
         self._write(counts.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram"), "grams", gen, "bucket")
 
     def _commit(self, gen: int, base: int) -> None:
@@ -101,7 +149,7 @@ class TrigramIndex:
         # Unique without a count of all: the generation, the task and the row in it; written once, so they stay.
         numbered = settle(fresh.select((F.lit(gen).cast("long") * (1 << 48) + F.monotonically_increasing_id()).alias("text_id"), "key", "text"))
         self._write(numbered.withColumn("block", F.pmod(F.xxhash64("text_id"), F.lit(self.layout.blocks)).cast("int")).repartition("block").sortWithinPartitions("block", "text_id"), "texts", gen, "block")
-        self._write_postings(numbered.select("text_id", F.explode(grams_of(F.col("text"))).alias("gram")), gen)
+        self._write_postings(numbered, gen)
         ids = known.unionByName(numbered.select("text_id", "key"))
         self._write(said.drop("text").join(ids, "key").select("text_id", "session", "file", "line"), "docs", gen)
         self._write((without if without is not None else docs.limit(0)).select(F.col("file").cast("string")).distinct(), "gone", gen)
@@ -113,8 +161,8 @@ class TrigramIndex:
         docs = settle(self.documents())
         used = docs.select("text_id").distinct()
         self._write(self._table("texts").join(used, "text_id", "left_semi").select("text_id", "key", "text", "block").repartition("block").sortWithinPartitions("block", "text_id"), "texts", gen, "block")
-        postings = self._table("postings").join(used, "text_id", "left_semi").select("gram", "text_id")
-        self._write_postings(postings, gen)
+        # Postings are many times the texts once they are taken apart, so they are made anew of the texts that stay.
+        self._write_postings(self.spark.read.schema(self._SCHEMAS["texts"]).parquet(f"{self.root}/texts/gen={gen}"), gen)
         self._write(docs, "docs", gen)
         self._write(docs.select("file").limit(0), "gone", gen)
         self._commit(gen, gen)
@@ -125,7 +173,7 @@ class TrigramIndex:
 
     def _holders(self, grams: list[str]) -> DataFrame:
         """Ids of the texts that hold all of the trigrams."""
-        return self._of_grams("postings", grams).groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("text_id")
+        return _each(self._of_grams("postings", grams)).groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("text_id")
 
     def _rarest(self, grams: list[str]) -> list[str]:
         """The trigrams whose postings a search reads, rarest first; none if one of all occurs nowhere."""

@@ -82,3 +82,12 @@ def test_an_unfinished_generation_does_not_count(spark, tmp_path):
 def test_grams(spark):
     df = spark.createDataFrame([("",), ("ab",), ("aBc",), ("aaaa",), ("\U0001f600xÉy",), (None,)], "t string")
     assert [r["g"] and sorted(r["g"]) for r in df.select(grams_of(F.col("t")).alias("g")).collect()] == [[], [], ["abc"], ["aaa"], ["xÉy", "\U0001f600xÉ"], []]
+
+
+def test_postings_of_many_texts_take_few_rows(spark, tmp_path):
+    index = TrigramIndex(spark, str(tmp_path / "i"))
+    docs = spark.createDataFrame([("s", "f", k, f"text number {k:05d} of many") for k in range(3000)], DOCS)
+    index.update(docs, without=docs.where("line < 0").select("file"))
+    pairs = sum(r["n"] for r in index._table("grams").collect())
+    assert pairs > 3000 * 20 and index._table("postings").count() < pairs / 10
+    assert sorted(r["text_id"] for r in index._holders(["xt ", "012"]).collect()) == sorted(r["text_id"] for r in index._table("texts").where("text LIKE '%012%'").collect())
