@@ -58,3 +58,23 @@ def test_transcripts_feed_the_usage_buckets(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text(json.dumps({"type": "assistant", "uuid": "u", "timestamp": "bad", "message": {"usage": {"input_tokens": 3}}}))
     (r,) = usage_buckets(message_requests(read_lines(spark, str(tmp_path)))).collect()
     assert (r["session"], r["model"], r["time"], r["total"], r["measured"]) == ("s", "Unknown model", None, 3, 1)
+
+
+def test_a_files_rows_are_made_without_casts(monkeypatch):
+    import pandas as pd
+
+    from logloom.streaming.ordered_fold import _Fold
+
+    class New:
+        exists = False
+
+    f = _Fold(New())
+    for seq, cat in enumerate(("system", "user", "assistant")):
+        f.take(seq, cat, 5)
+    f.release()
+    f.take(0, "user", 1)
+    monkeypatch.setattr(pd.DataFrame, "astype", None)
+    monkeypatch.setattr(pd.DataFrame, "insert", None)
+    made = f.rows("a")
+    assert [str(t) for t in made.dtypes] in (["object", "int64", "object", "Int64", "Int64", "Int64", "Int64", "bool"], ["str", "int64", "str", "Int64", "Int64", "Int64", "Int64", "bool"])
+    assert [[None if v is pd.NA else v for v in row] for row in made.values.tolist()] == [["a", 0, "system", 0, 0, 5, None, False], ["a", 1, "user", 1, 0, 10, 0, False], ["a", 2, "assistant", 1, 1, 15, 0, False], ["a", 0, "user", None, None, None, None, True]]
