@@ -30,7 +30,9 @@ class NearCopies:
     last in every set; this orders the search and has no effect on what is found. seed: of the
     shingles' hashes. broadcast_rows: up to so many asked texts are picked where they are
     read, by a broadcast of 16 bytes each; beyond it, texts move to an equal join. rounds: of
-    joining groups before all pairs across groups are compared; no effect on what is found.
+    joining groups before all pairs across groups are compared; crowd: texts of one shingle from
+    which on they are compared by what sets them apart from a text in their midst; least: share
+    of both that a text and that one hold in common. None of these has an effect on what is found.
     """
 
     shingle: int = 5
@@ -41,6 +43,8 @@ class NearCopies:
     seed: int = 42
     broadcast_rows: int = 2_000_000
     rounds: int = 4
+    crowd: int = 64
+    least: float = 0.5
 
     def prefix(self, n: int) -> int:
         """Least elements of a set of n of which any near copy has one."""
@@ -54,6 +58,10 @@ class NearCopies:
         """Whether sets of n and m elements, `shared` of them in both, are near copies."""
         return (self.part + self.whole) * shared >= self.part * (n + m)
 
+    def apart(self, differing, n, m):
+        """The same, of sets that differ in so many elements."""
+        return (self.part + self.whole) * differing <= (self.whole - self.part) * (n + m)
+
 
 #: Bits that a shingle is cut by where prefixes meet, which makes rows smaller; what meets by chance is told apart later.
 _CUT = 20
@@ -160,9 +168,10 @@ def first_of_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc
             break
         asked = tried.limit(0)
     mixed = settle(mixed.join(sets.select("mark", "n", "tail"), "mark"))
-    # Pairs across groups meet at every shingle that both prefixes have, so these are counted and no prefix moves.
-    side = lambda at: mixed.select("h", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "tail")])
-    met = side("a").join(side("b"), "h").where((F.col("a_mark") < F.col("b_mark")) & (F.col("a_g") != F.col("b_g")) & how.sizes("a_n", "b_n"))
+    own = _around(mixed, sets, plain, last, how)
+    links = links.unionByName(_beside(own, mixed, how))
+    # Other pairs across groups meet at every shingle that both prefixes have, so these are counted and no prefix moves.
+    met = _met(mixed, own, how)
     counted = met.groupBy(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"), "a_n", "b_n", "a_tail", "b_tail").agg(F.count(F.lit(1)).alias("shared"))
     rest = lambda n: F.floor((how.part * F.col(n) + how.whole - 1) / how.whole) - 1
     left = F.when(F.col("a_tail") <= F.col("b_tail"), rest("a_n")).otherwise(rest("b_n"))
@@ -210,19 +219,80 @@ def _possible(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, how: NearC
     return settle(map_batches(met.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix"), may, fields("a bigint, b bigint")))
 
 
-def _confirmed(maybe: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
-    """Those of the pairs (a, b) that are near copies, by their whole sets."""
+def _around(mixed: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
+    """Columns mark, centre, k, near, apart: the texts of crowded shingles, and the k elements that each one or its centre alone has.
+
+    The centre is the hub of most of a text's crowded shingles; near: whether they are near copies.
+    Texts that have too little in common with it are left out, and so are compared as all others.
+    """
+    hubs = settle(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "mark", "n")).alias("hub")).where(F.col("c") > how.crowd).select("h", F.col("hub.mark").alias("centre"), F.col("hub.n").alias("m")))
+    often = mixed.join(_small(hubs, how), "h").where(how.sizes("n", "m")).groupBy("mark", "centre").agg(F.count(F.lit(1)).alias("times"))
+    of = settle(often.groupBy("mark").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre")))
+
+    def differ(batch: pa.RecordBatch) -> list:
+        out: list[list] = [[] for _ in range(5)]
+        for mark, centre, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), numbers(batch.column(2)), numbers(batch.column(3)), strict=True):
+            apart = np.setxor1d(p, q, True)
+            if len(apart) <= (1 - how.least) * (len(p) + len(q)):
+                for k, v in enumerate((mark, centre, len(apart), bool(how.apart(len(apart), len(p), len(q))), apart.view(np.int64))):
+                    out[k].append(v)
+        return out
+
+    full = _full(of.select("mark").union(of.select("centre")).distinct(), sets, plain, last, how)
+    # Many texts may have one centre, which is therefore sent to several tasks.
+    spread = 16
+    centres = _ends(full, "centre", "words").join(of.select("centre").distinct(), "centre").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    both = of.join(full, "mark").withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(spread)).cast("int")).join(centres, ["centre", "part"])
+    return settle(map_batches(both.select("mark", "centre", "words", "centre_words"), differ, fields("mark bigint, centre bigint, k bigint, near boolean, apart array<bigint>")))
+
+
+def _beside(own: DataFrame, mixed: DataFrame, how: NearCopies) -> DataFrame:
+    """Links (a, b) that join all near copies of one centre that mixed has in different groups.
+
+    Two of them that are near copies either meet at an element that sets both apart from the centre,
+    or are near copies of it: with none in common they differ in k + l elements, and the centre has
+    at least m - l of them, so k + l being few enough for sizes n and m, k is for n and the centre's.
+    What both share counts as 2 of k + l, so it is known in how many elements they differ.
+    """
+    of = own.join(mixed.groupBy("mark").agg(F.first("g").alias("g"), F.first("n").alias("n")), "mark")
+    each = of.select("centre", "mark", "g", "n", "k", "near", F.explode("apart").alias("d"))
+    each = settle(each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("centre", "d"))).where("c > 1").drop("c"))
+    each = settle(each.join(each.groupBy("mark").agg(F.count(F.lit(1)).alias("e")), "mark"))
+    side = lambda at: each.select("centre", "d", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "k", "near", "e")])
+    able = how.apart(F.col("a_k") + F.col("b_k") - 2 * F.least("a_e", "b_e"), F.col("a_n"), F.col("b_n"))
+    met = side("a").join(side("b"), ["centre", "d"]).where((F.col("a_mark") < F.col("b_mark")) & (F.col("a_g") != F.col("b_g")) & ~(F.col("a_near") & F.col("b_near")) & able)
+    counted = met.groupBy(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"), "a_k", "b_k", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
+    found = counted.where(how.apart(F.col("a_k") + F.col("b_k") - 2 * F.col("shared"), F.col("a_n"), F.col("b_n"))).select("a", "b")
+    return settle(found.unionByName(own.where("near AND mark <> centre").select(F.col("mark").alias("a"), F.col("centre").alias("b"))))
+
+
+def _met(mixed: DataFrame, own: DataFrame, how: NearCopies) -> DataFrame:
+    """Pairs of different groups and not of one centre, once for each shingle that both prefixes have."""
+    known = mixed.join(_small(own.select("mark", "centre"), how), "mark", "left")
+    side = lambda at: known.select("h", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "tail", "centre")])
+    other = F.coalesce(F.col("a_centre") != F.col("b_centre"), F.lit(True))
+    return side("a").join(side("b"), "h").where((F.col("a_mark") < F.col("b_mark")) & (F.col("a_g") != F.col("b_g")) & other & how.sizes("a_n", "b_n"))
+
+
+def _full(marks: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
+    """Columns mark, words: the whole sets of these texts."""
 
     def whole(batch: pa.RecordBatch) -> list:
         return [batch.column(0), [shingles(t, how, last.value).tobytes() for t in batch.column(1).to_pylist()]]
 
+    keys = settle(sets.join(marks, "mark").select("mark", F.col("f.key").alias("key")))
+    texts = plain.select("key", "text").join(_small(keys, how), "key").select("mark", "text")
+    return settle(map_batches(texts, whole, fields("mark bigint, words binary"), text=1).dropDuplicates(["mark"]))
+
+
+def _confirmed(maybe: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
+    """Those of the pairs (a, b) that are near copies, by their whole sets."""
+
     def are(batch: pa.RecordBatch) -> list:
         both = zip(numbers(batch.column(2)), numbers(batch.column(3)), strict=True)
         keep = pa.array([bool(how.near(len(np.intersect1d(p, q, True)), len(p), len(q))) for p, q in both], pa.bool_())
         return [batch.column(k).filter(keep) for k in (0, 1)]
 
-    keys = settle(sets.join(_either(maybe), "mark").select("mark", F.col("f.key").alias("key")))
-    texts = plain.select("key", "text").join(_small(keys, how), "key").select("mark", "text")
-    full = settle(map_batches(texts, whole, fields("mark bigint, words binary"), text=1).dropDuplicates(["mark"]))
+    full = _full(_either(maybe), sets, plain, last, how)
     pair = maybe.join(_ends(full, "a", "words"), "a").join(_ends(full, "b", "words"), "b").select("a", "b", "a_words", "b_words")
     return settle(map_batches(pair, are, fields("a bigint, b bigint")))

@@ -81,3 +81,27 @@ def test_a_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicates(spark, awkward(spark, rows), "")
     assert sorted(x["doc_id"] for x in kept.collect()) == near_groups(rows)[0]
     assert sum(asked) <= 3 * len(texts)
+
+
+def test_crowds_of_near_copies_are_compared_by_what_sets_them_apart(spark, monkeypatch):
+    r = random.Random(11)
+    texts = []
+    for k in range(2):
+        base = words(150, 50 + k).split()
+        for copy in range(130):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.choice((1, 2, 3, 3, 4, 5))):
+                w[at] = f"own{k}x{copy}x{at}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts, 1))
+    met, inner = [], near_copies._met
+
+    def counted(mixed, own, how):
+        met.append((inner(mixed, own, how).count(), inner(mixed, own.limit(0), how).count()))
+        return inner(mixed, own, how)
+
+    monkeypatch.setattr(near_copies, "_met", counted)
+    want, docs = near_groups(rows)[0], awkward(spark, rows)
+    kept = near_copies.first_of_near_copies(docs, how=near_copies.NearCopies(crowd=8, rounds=1)).collect()
+    assert sorted(x["doc_id"] for x in kept) == want
+    assert all(after * 10 < before for after, before in met)
