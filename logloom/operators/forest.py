@@ -3,14 +3,20 @@
 Records have file, id and parent; an id is unique in its file (distinct_records makes it so). A
 parent that is no id of the file makes a root. Jumps over ancestors double in length with every round,
 so a forest of depth d takes log2 d rounds of joins, each written down once; nothing holds a path.
+Nested order takes the same rounds inside a task for files of few records, many of which a task holds
+at once, and by joins for files of any more.
 """
 
 from __future__ import annotations
 
 from math import ceil, log2
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.operators.scans import running_sums
 from logloom.sources.shared import settle
@@ -113,13 +119,99 @@ def surface_after_restores(events: DataFrame) -> DataFrame:
     return path.join(version.where("adds"), _KEY, "left_semi").select("file", F.col("id").alias("seq"))
 
 
-def nested(records: DataFrame, order: list[str]) -> DataFrame:
+#: Records of a file up to which its forest is walked inside one task, beside others of about as many records in all.
+IN_TASK = 100_000
+_WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.StringType)
+
+
+def nested(records: DataFrame, order: list[str], in_task: int = IN_TASK) -> DataFrame:
     """Columns file, id, parent, root, depth, size, place: the walk through each file's forest, children after their parent.
 
     order: columns that order siblings, and the roots of a file; equal ones go by id. place: number in
     the walk, from 0; size: records at and under one, so its subtree has the places from its own on
-    to size further. Records of a cycle, which no root reaches, become roots of their own.
+    to size further. Records of a cycle, which no root reaches, become roots of their own. in_task:
+    files of more records go by joins; the result is the same.
     """
+    records = settle(records.select(*_KEY, "parent", *[c for c in order if c not in (*_KEY, "parent")]))
+    if not all(isinstance(records.schema[c].dataType, _WHOLE) for c in ("id", "parent")) or records.schema["id"].dataType != records.schema["parent"].dataType:
+        return _nested_by_joins(records, order)
+    large = settle(records.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_task).select("file"))
+    if large.isEmpty():
+        return _nested_in_tasks(records, order, in_task)
+    by_joins = _nested_by_joins(records.join(large, "file", "left_semi"), order)
+    return by_joins.unionByName(_nested_in_tasks(records.join(large, "file", "left_anti"), order, in_task))
+
+
+def _nested_in_tasks(records: DataFrame, order: list[str], in_task: int) -> DataFrame:
+    known = records.where(F.col("file").isNotNull() & F.col("id").isNotNull())
+    count = known.count()
+    packs = max(1, ceil(count / in_task), min(known.sparkSession.sparkContext.defaultParallelism, count // 10_000))
+    dealt = known.withColumn("_pack", F.pmod(F.xxhash64("file"), F.lit(packs)))
+    # One exchange serves the numbers and the walk: siblings come in the order of their numbers.
+    dealt = dealt.repartition("_pack") if packs > 1 else dealt
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_pack", "file").orderBy(*order, "id"))).select("_pack", *_KEY, "parent", "_n")
+    kind = records.schema["id"].dataType
+    schema = T.StructType([T.StructField("file", records.schema["file"].dataType), T.StructField("id", kind), T.StructField("parent", kind), T.StructField("root", kind), *[T.StructField(c, T.LongType()) for c in ("depth", "size", "place")]])
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        files, ids, parents = (group.column(c) for c in ("file", "id", "parent"))
+        up, root, depth, size, place = _walk(*[c.to_pandas(types_mapper=pd.ArrowDtype) for c in (files, ids, parents)], group.column("_n").to_numpy())
+        at = lambda k: pa.array(np.where(k < 0, 0, k), mask=k < 0)
+        return pa.table({"file": files, "id": ids, "parent": ids.take(at(up)), "root": ids.take(at(root)), "depth": depth, "size": size, "place": place})
+
+    return numbered.groupBy("_pack").applyInArrow(walk, schema)
+
+
+def _walk(files: pd.Series, ids: pd.Series, parents: pd.Series, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For records of whole files: number of the parent (-1: none) and of the root, depth, size and place. n orders the siblings of a file."""
+    count = len(ids)
+    file, _ = pd.factorize(files)
+    code, _ = pd.factorize(pd.concat([ids, parents], ignore_index=True))
+    own, parent = code[:count], code[count:]
+    span = int(code.max(initial=0)) + 1
+    key, asked = file.astype(np.int64) * span + own, file.astype(np.int64) * span + parent
+    by_key = np.argsort(key)
+    found = by_key[np.minimum(np.searchsorted(key[by_key], asked), count - 1)]
+    up = np.where((parent >= 0) & (parent != own) & (key[found] == asked), found, -1)
+    most = ceil(log2(max(2, count))) + 1
+
+    def climb(start: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the jumps of each record end, its root, and the sum over it and all above it."""
+        jump, root = start.copy(), np.where(start < 0, np.arange(count), start)
+        for _ in range(most):
+            live = np.flatnonzero(jump >= 0)
+            if not len(live):
+                break
+            over = jump[live]
+            more, far, next_one = sums[over], root[over], jump[over]
+            sums[live] += more
+            root[live] = far
+            jump[live] = next_one
+        return jump, root, sums
+
+    jump, root, depth = climb(up, (up >= 0).astype(np.int64))
+    if (jump >= 0).any():
+        # After as many steps as there are records every jump that has not left the forest ends on a cycle, and all of one are met.
+        up[np.unique(jump[jump >= 0])] = -1
+        _, root, depth = climb(up, (up >= 0).astype(np.int64))
+    size, jump = np.ones(count, np.int64), up.copy()
+    while (jump >= 0).any():
+        live = np.flatnonzero(jump >= 0)
+        size += np.bincount(jump[live], size[live], count).astype(np.int64)
+        jump[live] = jump[jump[live]]
+    # A record comes one after its parent and after all that earlier siblings hold.
+    family = np.where(up < 0, -1 - file, up)
+    in_order = np.lexsort((n, family))
+    held = np.cumsum(size[in_order]) - size[in_order]
+    first = np.flatnonzero(np.append(True, np.diff(family[in_order]) != 0)) if count else np.zeros(0, np.int64)
+    held -= np.repeat(held[first], np.diff(np.append(first, count)))
+    offset = np.empty(count, np.int64)
+    offset[in_order] = held
+    return up, root, depth, size, climb(up, offset + (up >= 0))[2]
+
+
+def _nested_by_joins(records: DataFrame, order: list[str]) -> DataFrame:
     links = settle(_linked(records))
     most = ceil(log2(max(2, links.count()))) + 1
     for _ in range(2):

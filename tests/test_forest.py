@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,22 @@ def test_nothing_gives_nothing(spark):
     assert G.nested(none, ["at"]).count() == G.paths_to(none, none.select("file", "id")).count() == G.context_entries(none, G.last_records(none)).count() == G.surface_after_restores(none).count() == 0
     twice = spark.createDataFrame([(1, 1, None, 1, "x"), (1, 1, None, 2, "y"), (None, 1, None, 1, "z"), (1, None, None, 1, "z")], "file long, id long, parent long, at long, t string")
     assert [tuple(x) for x in G.distinct_records(twice).select("file", "id", "t").collect()] == [(1, 1, "y")]
+
+
+@pytest.mark.parametrize("in_task", [1, 40, 1000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nested_order_is_the_same_in_tasks_and_by_joins(spark, monkeypatch, in_task, kind):
+    r = random.Random(7)
+    rows, want = [], set()
+    for file in range(8):
+        parents = random_forest(r, r.randint(1, 80), 0.1)
+        order = {i: r.choice([None, 1, 2, 3]) for i in parents}
+        own = {i: i if kind == "long" else f"{i:03d}" for i in parents}
+        rows += [(f"f{file}", own[i], None if p is None else own.get(p, 7777 if kind == "long" else "none"), order[i]) for i, p in parents.items()]
+        want |= {(f"f{file}", own[i], own.get(v[0]), own[v[1]], *v[2:]) for i, v in nested_by_walk(parents, {i: -1 if o is None else o for i, o in order.items()}).items()}
+    joined, inner = [], G._nested_by_joins
+    monkeypatch.setattr(G, "_nested_by_joins", lambda records, order: joined.append(records.select("file").distinct().count()) or inner(records, order))
+    got = G.nested(spark.createDataFrame(rows, f"file string, id {kind}, parent {kind}, started long"), ["started"], in_task)
+    assert {tuple(x) for x in got.select("file", "id", "parent", "root", "depth", "size", "place").collect()} == want
+    large = sum(1 for n in Counter(f for f, *_ in rows).values() if n > in_task)
+    assert joined == ([large] if large else [])
