@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.sources.shared import settle
+from logloom.sources.shared import settle, spread
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -51,14 +51,14 @@ def vetoed_components(edges: DataFrame, weak: DataFrame) -> DataFrame:
     ends = lambda e: e.select(F.explode(F.array("src", "dst")).alias("vertex"))
     every = ends(edges).union(ends(weak)).where("vertex IS NOT NULL").distinct()
     strong = connected_components(edges)
-    of = settle(every.join(strong, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component")))
+    of = settle(every.join(spread(strong), "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component")))
     held = edges.where("vetoes AND src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("vertex")).distinct()
-    vetoed = of.join(held, "vertex", "left_semi").select(F.col("component").alias("vetoed")).distinct()
-    free = of.join(vetoed, F.col("component") == F.col("vetoed"), "left_anti")
+    vetoed = of.join(spread(held), "vertex", "left_semi").select(F.col("component").alias("vetoed")).distinct()
+    free = of.join(spread(vetoed), F.col("component") == F.col("vetoed"), "left_anti")
     side = lambda at: free.select(F.col("vertex").alias(at), F.col("component").alias(f"{at}_group"))
-    joined = weak.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst"))
+    joined = weak.join(spread(side("src")), "src").join(spread(side("dst")), "dst").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst"))
     wider = connected_components(joined).select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
-    return of.join(wider, "component", "left").select("vertex", F.coalesce("wider", "component").alias("component"))
+    return of.join(spread(wider), "component", "left").select("vertex", F.coalesce("wider", "component").alias("component"))
 
 
 def shared_object_edges(carriers: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def _large_star(star: DataFrame) -> DataFrame:
     both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
-        both.join(low, "u").where(F.col("v") > F.col("u"))
+        both.join(spread(low), "u").where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
     )
 
@@ -81,5 +81,5 @@ def _large_star(star: DataFrame) -> DataFrame:
 def _small_star(star: DataFrame) -> DataFrame:
     """Join every smaller neighbour of a vertex, and the vertex itself, to the smallest one."""
     low = star.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = star.join(low, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = star.join(spread(low), "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return low.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct()

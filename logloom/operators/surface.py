@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.sources.shared import settle
+from logloom.sources.shared import settle, spread
 
 _KEY = ["file", "seq"]
 
@@ -43,8 +43,8 @@ def covering(points: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
     sized = spans.where("lo <= hi").withColumn("k", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1)))
     cut = sized.withColumn("l", F.expr("shiftright(lo + shiftleft(1L, k) - 1, k)")).withColumn("r", F.expr("shiftright(hi + 1, k)")).where("l < r")
     blocks = cut.select("file", "k", *columns, F.explode(F.expr("filter(array(if((l & 1) = 1, l, null), if((r & 1) = 1, r - 1, null)), b -> b is not null)")).alias("block"))
-    placed = points.join(blocks.select("file", "k").distinct(), "file").select(*_KEY, "k", F.expr("shiftright(at, k)").alias("block"))
-    return placed.join(blocks, ["file", "k", "block"]).select(*_KEY, *columns)
+    placed = points.join(spread(blocks.select("file", "k").distinct()), "file").select(*_KEY, "k", F.expr("shiftright(at, k)").alias("block"))
+    return placed.join(spread(blocks), ["file", "k", "block"]).select(*_KEY, *columns)
 
 
 def first_cover(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def first_cover(points: DataFrame, spans: DataFrame) -> DataFrame:
 def _at(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """Nodes with `at`: the place of the span that a node has taken, else its own."""
     moved = spans.where(F.col("lo").isNotNull()).select("file", F.col("by").alias("seq"), F.col("lo").alias("moved"))
-    return nodes.join(moved, _KEY, "left").withColumn("at", F.coalesce("moved", "seq")).drop("moved")
+    return nodes.join(spread(moved), _KEY, "left").withColumn("at", F.coalesce("moved", "seq")).drop("moved")
 
 
 def _accepted(spans: DataFrame, ends: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def _accepted(spans: DataFrame, ends: DataFrame) -> DataFrame:
             return now
         before = mark
         at = _at(ends, now)
-        seen = at.join(first_cover(at, now), _KEY, "left").select(*_KEY, "at", F.least("gone", "removed").alias("gone"))
+        seen = at.join(spread(first_cover(at, now)), _KEY, "left").select(*_KEY, "at", F.least("gone", "removed").alias("gone"))
         end = lambda name, of=seen: of.select("file", F.col("seq").alias(name), F.col("at").alias(f"{name}_at"), F.col("gone").alias(f"{name}_gone"))
-        both = spans.join(end("first"), ["file", "first"], "left").join(end("last"), ["file", "last"], "left")
+        both = spans.join(spread(end("first")), ["file", "first"], "left").join(spread(end("last")), ["file", "last"], "left")
         there = [F.coalesce((F.col(e) < F.col("by")) & (F.col(f"{e}_gone").isNull() | (F.col(f"{e}_gone") >= F.col("by"))), F.lit(False)) for e in ("first", "last")]
         ok = there[0] & there[1] & F.coalesce(F.col("first_at") <= F.col("last_at"), F.lit(False))
         now = settle(both.select("file", "by", F.when(ok, F.col("first_at")).alias("lo"), F.when(ok, F.col("last_at")).alias("hi")))
@@ -85,14 +85,14 @@ def surface_nodes(events: DataFrame) -> DataFrame:
     claims = nodes.where("how = 'claim'").select("file", F.col("seq").alias("by"), F.explode("shadowed").alias("seq")).where("seq < by").groupBy(*_KEY).agg(F.min("by").alias("claimed"))
     cuts = nodes.where("how = 'cut'").select("file", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("seq").alias("by"))
     cut = first_cover(nodes.select(*_KEY, F.col("seq").alias("at")), cuts).withColumnRenamed("gone", "cut")
-    known = settle(nodes.join(claims, _KEY, "left").join(cut, _KEY, "left").withColumn("removed", F.least(F.when(~F.col("system"), F.col("claimed")), "cut")).drop("claimed", "cut", "shadowed"))
+    known = settle(nodes.join(spread(claims), _KEY, "left").join(spread(cut), _KEY, "left").withColumn("removed", F.least(F.when(~F.col("system"), F.col("claimed")), "cut")).drop("claimed", "cut", "shadowed"))
     spans = settle(known.where("how = 'span'").select("file", F.col("seq").alias("by"), "first", "last"))
     asked = spans.select("file", F.col("first").alias("seq")).unionByName(spans.select("file", F.col("last").alias("seq"))).distinct()
-    ends = settle(known.where(~F.col("system")).select(*_KEY, "removed").join(asked, _KEY))
+    ends = settle(known.where(~F.col("system")).select(*_KEY, "removed").join(spread(asked), _KEY))
     taken = _accepted(spans, ends)
     at = settle(_at(known, taken))
     gone = first_cover(at.where(~F.col("system")).select(*_KEY, "at"), taken)
-    return at.join(gone, _KEY, "left").select(*_KEY, "cat", "tokens", F.col("at").alias("pos"), F.least("gone", "removed").alias("gone"))
+    return at.join(spread(gone), _KEY, "left").select(*_KEY, "cat", "tokens", F.col("at").alias("pos"), F.least("gone", "removed").alias("gone"))
 
 
 def compactions(events: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def compactions(events: DataFrame, nodes: DataFrame) -> DataFrame:
     taken = _marked(events).where("claim_seq is not null").select("file", F.col("claim_seq").alias("seq"), F.col("seq").alias("gone"), F.col("tokens").alias("added"))
     removed = nodes.where(F.col("gone").isNotNull()).groupBy("file", "gone").agg(F.sum("tokens").alias("removed"))
     # A node that takes up a claim may find none of the named places there.
-    freed = taken.join(removed, ["file", "gone"], "left").select(*_KEY, F.greatest(F.lit(0), F.coalesce("removed", F.lit(0)) - F.coalesce("added", F.lit(0))).alias("freed"))
+    freed = taken.join(spread(removed), ["file", "gone"], "left").select(*_KEY, F.greatest(F.lit(0), F.coalesce("removed", F.lit(0)) - F.coalesce("added", F.lit(0))).alias("freed"))
     own = events.where(F.col("kind").isin("compaction", "prune") & F.col("file").isNotNull() & F.col("seq").isNotNull())
     n = F.when((F.col("kind") == "compaction") & F.col("shadowed").isNotNull(), F.size("shadowed"))
-    return own.join(freed, _KEY, "left").select(*_KEY, "kind", n.alias("n"), F.coalesce("freed", "tokens", F.lit(0)).alias("tokens"))
+    return own.join(spread(freed), _KEY, "left").select(*_KEY, "kind", n.alias("n"), F.coalesce("freed", "tokens", F.lit(0)).alias("tokens"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 from logloom.operators import context as C
+from logloom.operators.context import alive_at_steps
+from logloom.operators.graph import vetoed_components
 from logloom.operators.surface import compactions, surface_nodes
 
 EVENTS = "file string, seq bigint, kind string, cat string, tokens bigint, first bigint, last bigint, shadowed array<bigint>, extra int"
@@ -95,3 +97,11 @@ def test_alive_nodes_are_those_between_their_place_and_their_end(spark):
 def test_no_events_give_no_nodes(spark):
     none = spark.createDataFrame([], EVENTS)
     assert surface_nodes(none).count() == 0 and compactions(none, surface_nodes(none)).count() == 0
+
+
+def test_joins_that_grow_move_no_side_through_the_driver(spark):
+    events = spark.createDataFrame([(f, i, "node", "user", 1, i - 3 if i % 4 == 3 else None, i - 2 if i % 4 == 3 else None, None) for f in range(3) for i in range(20)], "file long, seq long, kind string, cat string, tokens long, first long, last long, shadowed array<long>")
+    nodes = surface_nodes(events)
+    edges = spark.createDataFrame([(k, k // 2, k % 5 == 0) for k in range(1, 40)], "src long, dst long, vetoes boolean")
+    for df in (nodes, compactions(events, nodes), alive_at_steps(nodes), vetoed_components(edges, edges.select("src", "dst"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
