@@ -30,9 +30,10 @@ class NearCopies:
     last in every set; this orders the search and has no effect on what is found. seed: of the
     shingles' hashes. broadcast_rows: up to so many asked texts are picked where they are
     read, by a broadcast of 16 bytes each; beyond it, texts move to an equal join. rounds: of
-    joining groups before all pairs across groups are compared; crowd: texts of one shingle from
+    joining groups before all pairs across groups are compared, of texts around a centre too; crowd: texts of one shingle from
     which on they are compared by what sets them apart from a text in their midst; least: share
-    of both that a text and that one hold in common. None of these has an effect on what is found.
+    of both that a text and that one hold in common; hubs: texts joined to that one that others are
+    asked about first, of each element. None of these has an effect on what is found.
     """
 
     shingle: int = 5
@@ -45,6 +46,7 @@ class NearCopies:
     rounds: int = 4
     crowd: int = 64
     least: float = 0.5
+    hubs: int = 4
 
     def prefix(self, n: int) -> int:
         """Least elements of a set of n of which any near copy has one."""
@@ -220,9 +222,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, how: NearC
 
 
 def _around(mixed: DataFrame, sets: DataFrame, plain: DataFrame, last, how: NearCopies) -> DataFrame:
-    """Columns mark, centre, k, near, apart: the texts of crowded shingles, and the k elements that each one or its centre alone has.
+    """Columns mark, centre, n, m, k, near, adds, lacks: the texts of crowded shingles, and the k elements that each one or its centre alone has.
 
-    The centre is the hub of most of a text's crowded shingles; near: whether they are near copies.
+    The centre is the hub of most of a text's crowded shingles; n, m: both sizes; near: whether they are near copies.
     Texts that have too little in common with it are left out, and so are compared as all others.
     """
     hubs = settle(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "mark", "n")).alias("hub")).where(F.col("c") > how.crowd).select("h", F.col("hub.mark").alias("centre"), F.col("hub.n").alias("m")))
@@ -230,11 +232,12 @@ def _around(mixed: DataFrame, sets: DataFrame, plain: DataFrame, last, how: Near
     of = settle(often.groupBy("mark").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre")))
 
     def differ(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(8)]
         for mark, centre, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), numbers(batch.column(2)), numbers(batch.column(3)), strict=True):
-            apart = np.setxor1d(p, q, True)
-            if len(apart) <= (1 - how.least) * (len(p) + len(q)):
-                for k, v in enumerate((mark, centre, len(apart), bool(how.apart(len(apart), len(p), len(q))), apart.view(np.int64))):
+            adds, lacks = np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)
+            apart = len(adds) + len(lacks)
+            if apart <= (1 - how.least) * (len(p) + len(q)):
+                for k, v in enumerate((mark, centre, len(p), len(q), apart, bool(how.apart(apart, len(p), len(q))), adds.view(np.int64), lacks.view(np.int64))):
                     out[k].append(v)
         return out
 
@@ -243,7 +246,48 @@ def _around(mixed: DataFrame, sets: DataFrame, plain: DataFrame, last, how: Near
     spread = 16
     centres = _ends(full, "centre", "words").join(of.select("centre").distinct(), "centre").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     both = of.join(full, "mark").withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(spread)).cast("int")).join(centres, ["centre", "part"])
-    return settle(map_batches(both.select("mark", "centre", "words", "centre_words"), differ, fields("mark bigint, centre bigint, k bigint, near boolean, apart array<bigint>")))
+    return settle(map_batches(both.select("mark", "centre", "words", "centre_words"), differ, fields("mark bigint, centre bigint, n bigint, m bigint, k bigint, near boolean, adds array<bigint>, lacks array<bigint>")))
+
+
+def _shared(own: DataFrame, how: NearCopies) -> DataFrame:
+    """A row for each element d that sets a text apart from its centre and by which it can be found to be a near copy of another.
+
+    A text's elements stand in one order for all texts of the centre: those that the centre has not, then those that
+    it alone has, of each those that fewest texts have first. adds, lacks: how many of either are left from d on. Texts
+    that have d first in common share the lesser of both at most, and rows in which that is too little
+    for any text are left out. far: whether it is enough for one that is not near the centre, as texts near it are not told apart from each other.
+    """
+    spans = own.groupBy("centre").agg(F.min("n").alias("lo"))
+    kind = lambda of, added: own.select("centre", "mark", "g", "n", "m", "k", "near", F.lit(added).alias("added"), F.explode(of).alias("d"))
+    each = kind("adds", True).unionByName(kind("lacks", False))
+    often = each.groupBy("centre", "d").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    back = Window.partitionBy("mark").orderBy("added", F.col("c").desc(), F.col("d").desc())
+    left = lambda added: F.count(F.when(F.col("added") == added, F.lit(1))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.join(often, ["centre", "d"]).withColumn("adds", left(True)).withColumn("lacks", left(False)).join(spans, "centre")
+    rest = F.col("adds") + F.col("lacks")
+    whole, share = how.part + how.whole, how.whole - how.part
+    # Of near copies the other has rest elements at least and is `whole / part` times as large at most; one not near the centre differs from that in over its share.
+    able = how.part * (F.col("k") - rest) <= share * F.col("n")
+    far = whole * (F.col("k") - 2 * rest) < share * (F.col("n") - F.col("m"))
+    # If the other lacks no more than both do, they still differ in k - 2 * adds and by its size over the centre's; that is least for the smallest size.
+    able &= whole * (F.col("k") + F.col("lo") - F.col("m") - 2 * F.col("adds")) <= share * (F.col("n") + F.col("lo"))
+    return settle(placed.withColumn("far", far).where(able & (~F.col("near") | F.col("far"))).drop("c", "m", "lo", "near", "added"))
+
+
+def _meeting(b: DataFrame, a: DataFrame, how: NearCopies) -> DataFrame:
+    """Pairs of rows of `_shared` in different groups that can be the first element that near copies have in common."""
+    side = lambda of, at: of.select("centre", "d", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "k", "adds", "lacks", "joined")])
+    rest = F.least("a_adds", "b_adds") + F.least("a_lacks", "b_lacks")
+    enough = how.apart(F.col("a_k") + F.col("b_k") - 2 * rest, F.col("a_n"), F.col("b_n"))
+    return side(b, "b").join(side(a, "a"), ["centre", "d"]).where((F.col("a_joined") | (F.col("b_mark") < F.col("a_mark"))) & (F.col("a_g") != F.col("b_g")) & enough)
+
+
+def _told(pairs: DataFrame, own: DataFrame, how: NearCopies) -> DataFrame:
+    """Those of the pairs (a, b) of one centre that are near copies, by what sets each apart from it."""
+    met = pairs.join(_ends(own, "a", "k", "n", "adds", "lacks"), "a").join(_ends(own, "b", "k", "n", "adds", "lacks"), "b")
+    both = F.size(F.array_intersect("a_adds", "b_adds")) + F.size(F.array_intersect("a_lacks", "b_lacks"))
+    differing = F.col("a_k") + F.col("b_k") - 2 * both
+    return settle(met.where(how.apart(differing, F.col("a_n"), F.col("b_n"))).select("a", "b"))
 
 
 def _beside(own: DataFrame, mixed: DataFrame, how: NearCopies) -> DataFrame:
@@ -252,18 +296,29 @@ def _beside(own: DataFrame, mixed: DataFrame, how: NearCopies) -> DataFrame:
     Two of them that are near copies either meet at an element that sets both apart from the centre,
     or are near copies of it: with none in common they differ in k + l elements, and the centre has
     at least m - l of them, so k + l being few enough for sizes n and m, k is for n and the centre's.
-    What both share counts as 2 of k + l, so it is known in how many elements they differ.
+    Groups near the centre are joined by it. Others ask a few of the joined texts of each element first, so that
+    what near copies there are is found by rows in proportion to the elements; groups that are then still apart are compared with all that may be near.
     """
-    of = own.join(mixed.groupBy("mark").agg(F.first("g").alias("g"), F.first("n").alias("n")), "mark")
-    each = of.select("centre", "mark", "g", "n", "k", "near", F.explode("apart").alias("d"))
-    each = settle(each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("centre", "d"))).where("c > 1").drop("c"))
-    each = settle(each.join(each.groupBy("mark").agg(F.count(F.lit(1)).alias("e")), "mark"))
-    side = lambda at: each.select("centre", "d", *[F.col(c).alias(f"{at}_{c}") for c in ("mark", "g", "n", "k", "near", "e")])
-    able = how.apart(F.col("a_k") + F.col("b_k") - 2 * F.least("a_e", "b_e"), F.col("a_n"), F.col("b_n"))
-    met = side("a").join(side("b"), ["centre", "d"]).where((F.col("a_mark") < F.col("b_mark")) & (F.col("a_g") != F.col("b_g")) & ~(F.col("a_near") & F.col("b_near")) & able)
-    counted = met.groupBy(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"), "a_k", "b_k", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
-    found = counted.where(how.apart(F.col("a_k") + F.col("b_k") - 2 * F.col("shared"), F.col("a_n"), F.col("b_n"))).select("a", "b")
-    return settle(found.unionByName(own.where("near AND mark <> centre").select(F.col("mark").alias("a"), F.col("centre").alias("b"))))
+    own = settle(own.join(mixed.groupBy("mark").agg(F.first("g").alias("g")), "mark"))
+    each = _shared(own, how)
+    links = own.where("near AND mark <> centre").select(F.col("mark").alias("a"), F.col("centre").alias("b"))
+    joined = own.where("near").select("centre", "g").distinct()
+    in_of = lambda groups: each.join(groups.withColumn("in", F.lit(True)), ["centre", "g"], "left").withColumn("joined", F.coalesce("in", F.lit(False))).drop("in")
+    rows = settle(in_of(joined))
+    for turn in range(how.rounds):
+        # At first those that leave most to share, then others.
+        first = (2 * (F.col("adds") + F.col("lacks")) - F.col("k")).desc() if turn == 0 else F.xxhash64("mark", F.lit(turn))
+        at = F.row_number().over(Window.partitionBy("centre", "d").orderBy(first, "mark"))
+        hubs = rows.where("joined AND far").withColumn("at", at).where(F.col("at") <= how.hubs).drop("at")
+        found = _told(_meeting(rows.where("NOT joined"), hubs, how).select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b")).distinct(), own, how)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        joined = settle(joined.union(found.select(F.col("b").alias("mark")).join(own, "mark").select("centre", "g")).distinct())
+        rows = settle(in_of(joined))
+    met = _meeting(rows.where("NOT joined"), rows.where("far"), how)
+    others = _told(met.select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b")).distinct(), own, how)
+    return settle(links.unionByName(others))
 
 
 def _met(mixed: DataFrame, own: DataFrame, how: NearCopies) -> DataFrame:

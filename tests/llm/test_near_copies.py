@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from logloom.llm import near_copies
@@ -105,3 +106,48 @@ def test_crowds_of_near_copies_are_compared_by_what_sets_them_apart(spark, monke
     kept = near_copies.first_of_near_copies(docs, how=near_copies.NearCopies(crowd=8, rounds=1)).collect()
     assert sorted(x["doc_id"] for x in kept) == want
     assert all(after * 10 < before for after, before in met)
+
+
+def test_rows_around_a_centre_stay_few_as_its_texts_grow(spark, monkeypatch):
+    how, r = near_copies.NearCopies(), random.Random(21)
+    base, other = words(146, 21).split(), words(600, 22).split()
+    met, meeting = [], near_copies._meeting
+
+    def counted(*given):
+        out = meeting(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_meeting", counted)
+    rows = {}
+    for size in (150, 600):
+        sets = [frozenset(near_copies.shingles(" ".join(base)).tolist())]
+        while len(sets) < size:
+            w = list(base)
+            for at in sorted(r.sample(range(len(w)), r.choice((1, 2, 3, 3, 4, 5, 6))), reverse=True):
+                w[at : at + 1] = r.choice(([r.choice(other)], [r.choice(other)], [w[at] + str(r.random())], [], [w[at], w[at]]))
+            sets.append(frozenset(near_copies.shingles(" ".join(w)).tolist()))
+        hub, near = sets[0], lambda s, t: 9 * len(s & t) >= 4 * (len(s) + len(t))
+        alone = lambda i: 0 if near(sets[i], hub) else i  # noqa: B023, E731
+        own = spark.createDataFrame([(i, 0, len(s), len(hub), len(s ^ hub), near(s, hub), list(s - hub), list(hub - s)) for i, s in enumerate(sets)], "mark long, centre long, n long, m long, k long, near boolean, adds array<long>, lacks array<long>")
+        mixed = spark.createDataFrame([(i, alone(i), len(s)) for i, s in enumerate(sets)], "mark long, g long, n long")
+        met.clear()
+        links = near_copies._beside(own, mixed, how).collect()
+        assert all(near(sets[a], sets[b]) for a, b in links)
+
+        def groups(pairs):
+            up = [alone(i) for i in range(size)]  # noqa: B023
+            for a, b in pairs:
+                if up[a] != up[b]:
+                    up = [min(up[a], up[b]) if u in (up[a], up[b]) else u for u in up]
+            return up
+
+        assert groups(links) == groups((a, b) for b in range(size) for a in range(b) if near(sets[a], sets[b]))
+        # Before, texts of which not both are near the centre met at every element, if as many as either shares with any text could make them near copies.
+        held = Counter(d for s in sets for d in s ^ hub)
+        some = [frozenset(d for d in s ^ hub if held[d] > 1) for s in sets]
+        able = lambda a, b: 9 * (len(sets[a] ^ hub) + len(sets[b] ^ hub) - 2 * min(len(some[a]), len(some[b]))) <= len(sets[a]) + len(sets[b])  # noqa: B023, E731
+        before = sum(len(some[a] & some[b]) for b in range(size) for a in range(b) if (alone(a) or alone(b)) and able(a, b))
+        rows[size] = (sum(met), before)
+    assert rows[600][0] * 20 < rows[600][1], rows
+    assert all(now < 4 * size for size, (now, _) in rows.items()), rows
