@@ -252,8 +252,8 @@ def _around(mixed: DataFrame, sets: DataFrame, plain: DataFrame, last, how: Near
 def _shared(own: DataFrame, how: NearCopies) -> DataFrame:
     """A row for each element d that sets a text apart from its centre and by which it can be found to be a near copy of another.
 
-    A text's elements stand in one order for all texts of the centre: those that the centre has not, then those that
-    it alone has, of each those that fewest texts have first. adds, lacks: how many of either are left from d on. Texts
+    A text's elements stand in one order for all texts of the centre, those that fewest texts have first. adds, lacks:
+    how many that the centre has not, and that it alone has, are left from d on. Texts
     that have d first in common share the lesser of both at most, and rows in which that is too little
     for any text are left out. far: whether it is enough for one that is not near the centre, as texts near it are not told apart from each other.
     """
@@ -261,7 +261,7 @@ def _shared(own: DataFrame, how: NearCopies) -> DataFrame:
     kind = lambda of, added: own.select("centre", "mark", "g", "n", "m", "k", "near", F.lit(added).alias("added"), F.explode(of).alias("d"))
     each = kind("adds", True).unionByName(kind("lacks", False))
     often = each.groupBy("centre", "d").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    back = Window.partitionBy("mark").orderBy("added", F.col("c").desc(), F.col("d").desc())
+    back = Window.partitionBy("mark").orderBy(F.col("c").desc(), F.col("d").desc())
     left = lambda added: F.count(F.when(F.col("added") == added, F.lit(1))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     placed = each.join(often, ["centre", "d"]).withColumn("adds", left(True)).withColumn("lacks", left(False)).join(spans, "centre")
     rest = F.col("adds") + F.col("lacks")
